@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docqa.functions.text import let
 from docqa.functions.vectors import hash_counts, norm
 
 VECTOR_TYPE = T.ArrayType(T.FloatType(), containsNull=False)
@@ -67,10 +68,11 @@ def tfidf_embed(df: DataFrame, text: str, dim: int = 256, vector: str = "embeddi
         .select(F.transform("pairs", lambda p: p["idf"]))
         .scalar()
     )
-    weighted = counted.withColumn("_w", F.zip_with("_tf", weights, lambda tf, w: tf * w)).withColumn(
-        "_norm", norm(F.col("_w"))
-    )
-    scaled = F.transform(
-        "_w", lambda w: F.when(F.col("_norm") > 0, w / F.col("_norm")).otherwise(0.0).cast("float")
-    )
-    return weighted.withColumn(vector, scaled).drop("_tf", "_w", "_norm")
+    weighted = F.zip_with("_tf", "_idf", lambda tf, w: tf * w)
+
+    def unit_length(w):
+        return let(
+            norm(w), lambda n: F.transform(w, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))
+        )
+
+    return counted.withColumn("_idf", weights).withColumn(vector, let(weighted, unit_length)).drop("_tf", "_idf")

@@ -163,15 +163,20 @@ def number_rows(df: DataFrame, order: str, number: str = "number", pieces: int =
     cuts = df.agg(
         F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(100 * pieces))
     ).scalar()
-    placed = df.withColumn("_piece", F.size(F.filter(cuts, lambda c: c <= F.col(order))))
+    placed = (
+        df.withColumn("_cuts", cuts)
+        .withColumn("_piece", F.size(F.filter("_cuts", lambda c: c <= F.col(order))))
+        .drop("_cuts")
+    )
     sizes = (
         placed.groupBy("_piece").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("_piece", "n"))).scalar()
     )
     before = F.aggregate(
-        F.filter(sizes, lambda s: s["_piece"] < F.col("_piece")), F.lit(0).cast("bigint"), lambda acc, s: acc + s["n"]
+        F.filter("_sizes", lambda s: s["_piece"] < F.col("_piece")), F.lit(0).cast("bigint"), lambda acc, s: acc + s["n"]
     )
     inside = F.row_number().over(Window.partitionBy("_piece").orderBy(order))
-    return placed.withColumn(number, (before + inside).cast("bigint")).drop("_piece")
+    numbered = placed.withColumn("_sizes", sizes).withColumn(number, (before + inside).cast("bigint"))
+    return numbered.drop("_piece", "_sizes")
 
 
 def report(df: DataFrame, key: str) -> DataFrame:
