@@ -8,6 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\x1c-\x1f]"
+# The same characters as a string, for trimming without a regular expression.
+BLANK_CHARS = "".join(
+    chr(c)
+    for first, last in [
+        (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+        (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+    ]
+    for c in range(first, last + 1)
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -16,12 +25,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    # The possessive run behind a look-behind keeps long inner white space runs linear.
-    return F.regexp_replace(c, rf"(?U)\A{BLANK}++|(?<!{BLANK}){BLANK}++\z", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)(?<!{BLANK}){BLANK}++\z", "")
+    return F.rtrim(c, F.lit(BLANK_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -29,7 +37,8 @@ def is_blank(c: Column) -> Column:
 
 
 def normalize_newlines(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\n+", "\n"))
+    single = F.when(F.contains(c, F.lit("\n\n")), F.regexp_replace(c, r"\n\n+", "\n")).otherwise(c)
+    return strip(single)
 
 
 def split_sections(c: Column) -> Column:

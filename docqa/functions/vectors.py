@@ -42,7 +42,7 @@ def hash_counts(text: Column, dim: int) -> Column:
             ),
         )
 
-    return let(F.array_sort(marked), count_runs)
+    return let(F.sort_array(marked), count_runs)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -463,11 +463,11 @@ ORACLES = {
         "SELECT conv_id, accuracy::VARCHAR AS accuracy, grounding_share::VARCHAR AS grounding, 'N/A' AS fluency FROM scores", "scores"
     ),
     "eval_report": query(
-        """SELECT row_number() OVER (ORDER BY conv_id) AS number, 'N/A' AS question,
+        """SELECT row_number() OVER (ORDER BY conv_id) AS number, question,
           CASE WHEN length(answer) > 300 THEN left(answer, 300) || '...' ELSE answer END AS answer,
           accuracy::VARCHAR AS accuracy, round(relevance, 6) AS relevance, grounding FROM scores""",
         "scores",
-    ).replace("'N/A' AS question", "question"),
+    ),
     "eval_head": query(
         "SELECT conv_id, question, answer, context_text FROM paired ORDER BY conv_id LIMIT 5", "paired"
     ),
@@ -477,6 +477,11 @@ ORACLES = {
           to_json(map(['category', 'difficulty'], [category, difficulty]))::VARCHAR AS tags FROM examples""",
         "examples",
     ),
+    "run_stats": query(
+        """SELECT 'examples' AS name, count(*) AS value FROM paired
+        UNION ALL SELECT 'empty_answers', count(*) FILTER (WHERE answer = '') FROM paired""",
+        "paired",
+    ),
     "save_roundtrip": query(
         """SELECT c.chunk_key, c.doc_id, c.chunk_id, c.chunked_text, c.file_name, coalesce(n.words, 0.0) AS words
         FROM chunks c LEFT JOIN (SELECT chunk_key, sum(n) AS words FROM chunk_counts GROUP BY chunk_key) n

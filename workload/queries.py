@@ -188,7 +188,10 @@ def topk_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topk_lsh(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.topk_approx(*_vectors(spark, sf), K, "cosine", dim=64)
+    """Approximate search in an index that is laid out by cells."""
+    asked, rows = _vectors(spark, sf)
+    index = tables.build_index(rows, new_folder(spark, "cells"), encoder="given", planes=6, dim=64)
+    return retrieval.topk_approx(asked, index, K, "cosine", dim=64, planes=6)
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,12 +344,11 @@ def score_relevance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Every assistant message against the message before it."""
-    from pyspark.sql import Window
-
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = fx.conversations(spark, sf).withColumn("context_text", before).filter(F.col("role") == "assistant")
-    return evaluation.score_grounding(rows, "text").select(
+    """Every assistant message against the message before it, found by an even join on conversation and turn."""
+    messages = fx.conversations(spark, sf)
+    before = messages.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context_text"))
+    replies = messages.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    return evaluation.score_grounding(replies.join(before, ["conv_id", "turn"], "left"), "text").select(
         "conv_id", "turn", "grounding_share", F.col("`grounding_evaluator/value`").alias("grounding")
     )
 
@@ -511,19 +513,12 @@ def sync_index(spark: SparkSession, sf: str) -> DataFrame:
     inbox = new_folder(spark, "changes")
     feed_between(old, new, "chunk_key").withColumn("_commit_version", F.lit(1).cast("bigint")).write.parquet(inbox)
     stream = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
-    stream = stream.withColumn("norm", retrieval_norm("embedding"))
     jobs.sync_index(stream, path, new_folder(spark, "checkpoint")).awaitTermination()
     return synced_index(spark, path).select(
         "chunk_key", F.size("embedding").cast("bigint").alias("dim"), F.round("norm", 6).alias("norm")
     )
 
 
-def retrieval_norm(vector: str):
-    from docqa.functions.vectors import norm
-
-    return norm(F.col(vector))
-
-
 def save_results(spark: SparkSession, sf: str) -> DataFrame:
     rows = evaluation.score_accuracy(_paired(spark, sf)).drop("context_text")
     tables.save_results(rows, "docqa_eval_results", new_folder(spark, "results"))
