@@ -59,7 +59,7 @@ def tfidf_embed(df: DataFrame, text: str, dim: int = 256, vector: str = "embeddi
     The bucket weights are one array of length ``dim`` and reach the rows as a scalar subquery.
     """
     counted = df.withColumn("_tf", hash_counts(F.col(text), dim))
-    buckets = counted.select(F.posexplode("_tf").alias("bucket", "tf")).groupBy("bucket").agg(
+    buckets = df.select(F.posexplode(hash_counts(F.col(text), dim)).alias("bucket", "tf")).groupBy("bucket").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df")
     )
     weights = (

@@ -122,7 +122,7 @@ def truncate_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 def _nonzero(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     return (
-        df.select(key, F.posexplode(vector).alias("bucket", "value"))
+        df.select(key, F.posexplode_outer(vector).alias("bucket", "value"))
         .filter(F.col("value") != 0)
         .select(key, F.col("bucket").cast("bigint").alias("bucket"), F.col("value").cast("double").alias("value"))
     )
