@@ -20,29 +20,30 @@ def word_bucket(word: Column, dim: int) -> Column:
 def hash_counts(text: Column, dim: int) -> Column:
     """Word counts per bucket as ``array<float>`` of length ``dim``.
 
-    Each bucket number is appended once before sorting, so the sorted array has exactly ``dim`` runs;
-    a run's length minus one is the bucket's count. The row stays in its partition, nothing is shuffled.
+    The bucket numbers are sorted, with ``dim`` itself as an end mark. Each run of equal numbers becomes the
+    zeros since the run before it and then its length, so the work per row follows the number of words and
+    the row stays in its partition; nothing is exploded or shuffled.
     """
-    marked = F.concat(
-        F.transform(words(text), lambda w: word_bucket(w, dim)),
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-    )
+    numbers = F.concat(F.transform(words(text), lambda w: word_bucket(w, dim)), F.array(F.lit(dim)))
 
-    def count_runs(ordered: Column) -> Column:
+    def dense(ordered: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(0), F.size(ordered) - 1),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-        ends = F.concat(starts, F.array(F.size(ordered)))
-        return let(
-            ends,
-            lambda e: F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda d: (F.get(e, d + 1) - F.get(e, d) - 1).cast("float"),
-            ),
-        )
 
-    return let(F.sort_array(marked), count_runs)
+        def join_runs(begin: Column) -> Column:
+            def run(start: Column, j: Column) -> Column:
+                before = F.coalesce(F.get(ordered, F.get(begin, j - 1)), F.lit(-1))
+                length = F.coalesce(F.get(begin, j + 1) - start, F.lit(0)).cast("float")
+                zeros = F.array_repeat(F.lit(0.0).cast("float"), F.get(ordered, start) - before - 1)
+                return F.concat(zeros, F.array(length))
+
+            return F.slice(F.flatten(F.transform(begin, run)), 1, dim)
+
+        return let(starts, join_runs)
+
+    return let(F.sort_array(numbers), dense)
 
 
 def dot(a: Column, b: Column) -> Column:
