@@ -154,12 +154,13 @@ def score_text(df: DataFrame, word: str) -> Column:
     return F.lit(ABSENT) if name is None else F.col(f"`{name}`").cast("string")
 
 
-def number_rows(df: DataFrame, order: str, number: str = "number", pieces: int = 256) -> DataFrame:
+def number_rows(df: DataFrame, order: str, number: str = "number", pieces: int | None = None) -> DataFrame:
     """Number rows from 1 in the order of a unique number or date column, without one global window.
 
-    Quantiles cut the order into pieces; rows are numbered inside their piece, and the row counts of the
+    Quantiles cut the order into pieces, one per shuffle partition unless given; rows are numbered inside their piece, and the row counts of the
     earlier pieces (at most ``pieces`` values, held by a scalar subquery) are added.
     """
+    pieces = max(2, pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(
         F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(100 * pieces))
     ).scalar()
