@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docqa.functions.text import distinct_words, first_truthy, truncate_text
+from docqa.operators.answering import fill_template, generate
 
 # Text for an absent value, report answer length, and grounding bands.
 ABSENT = "N/A"
 REPORT_ANSWER_LENGTH = 300
 BANDS = ("excellent", "good", "acceptable", "poor")
+# Fixed value: what a judge is told about grounding.
+GROUNDING_GUIDELINES = """回答が取得されたコンテキストに基づいているか（接地しているか）を評価してください。
+以下の観点から評価してください：
+1. 回答がコンテキストに基づいているか
+2. 回答がコンテキストから推論できるか
+3. 回答がコンテキストにない情報を含んでいないか
+
+評価は以下のスケールで行ってください：
+- 'excellent': 完全にコンテキストに基づいている
+- 'good': 主にコンテキストに基づいている
+- 'acceptable': 一部コンテキストに基づいている
+- 'poor': コンテキストに基づいていない"""
 
 
 def run_evaluation(examples: DataFrame, answers: DataFrame, key: str) -> DataFrame:
@@ -58,6 +71,30 @@ def score_grounding(df: DataFrame, answer: str = "answer", context: str = "conte
     )
 
 
+def judge(
+    df: DataFrame,
+    make_fn,
+    name: str = "grounding_evaluator",
+    guidelines: str = GROUNDING_GUIDELINES,
+    question: str = "inputs.question",
+    answer: str = "answer",
+    context: str = "context_text",
+) -> DataFrame:
+    """Score answers with a caller's model: its reply goes to the column ``<name>/value``."""
+    template = "{guidelines}\n\n{context}\n\n{question}\n\n{answer}"
+    holes = {
+        "guidelines": F.lit(guidelines),
+        "context": F.col(context),
+        "question": F.col(question),
+        "answer": F.col(answer),
+    }
+    asked = df.withColumn("_judge_prompt", fill_template(template, holes))
+    replied = generate(
+        asked, make_fn, prompt="_judge_prompt", question="_judge_prompt", answer=f"{name}/value", error=f"{name}/error"
+    )
+    return replied.drop("_judge_prompt")
+
+
 METRIC_COLUMNS = {
     "accuracy_evaluator/mean": "accuracy_evaluator/value",
     "accuracy_share/mean": "accuracy_share",

@@ -104,3 +104,13 @@ def test_evaluation_run_is_saved_and_logged(spark):
         ev.score_grounding(ev.score_relevance(ev.score_accuracy(ev.run_evaluation(examples, answers, "id")))), ["difficulty"]
     )
     assert {(r.difficulty, r.examples) for r in by_tag.collect()} == {("easy", 4), (None, 4)}
+
+
+def test_judge_hook(spark):
+    def make():
+        return lambda prompts: ["good" if p.endswith("yes") else "poor" for p in prompts]
+
+    df = spark.createDataFrame([(("q",), "yes", "c"), (("q",), "no {answer}", None)], "inputs struct<question string>, answer string, context_text string")
+    judged = ev.judge(df, make)
+    assert [r["grounding_evaluator/value"] for r in judged.collect()] == ["good", "poor"]
+    assert ev.score_column(judged.columns, "grounding") == "grounding_evaluator/value"
