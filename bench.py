@@ -19,7 +19,7 @@ from workload.queries import QUERIES
 HEADLINE = [
     "chunk_documents",
     "hash_embed",
-    "index_pipeline",
+    "index_documents",
     "topk_dense",
     "topk_blocks",
     "topk_lsh",

@@ -508,7 +508,7 @@ ORACLES = {
         f"""SELECT vec_id AS chunk_key, len(embedding) AS dim,
           round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings"""
     ),
-    "index_pipeline": query(
+    "index_documents": query(
         """SELECT c.chunk_key, round(coalesce(n.norm, 0.0), 6) AS norm FROM chunks c
         LEFT JOIN chunk_norms n ON n.chunk_key = c.chunk_key""",
         "chunks",

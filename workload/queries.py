@@ -497,7 +497,7 @@ def build_index(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("chunk_key", F.size("embedding").cast("bigint").alias("dim"), F.round("norm", 6).alias("norm"))
 
 
-def index_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def build_from_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to saved chunk table to published index."""
     _, index = index_documents(
         fx.sectioned(spark, sf), fx.ENCODER, "docqa_indexed", new_folder(spark, "index"), new_folder(spark, "chunks")
@@ -638,7 +638,7 @@ QUERIES = {
     "embedding_dim": embedding_dim,
     "change_feed": change_feed,
     "build_index": build_index,
-    "index_pipeline": index_pipeline,
+    "index_documents": build_from_documents,
     "sync_index": sync_index,
     "save_results": save_results,
     "run_log": run_log,
