@@ -61,6 +61,7 @@ def test_sync_in_several_commits_then_fold(spark, planes):
         vectors(spark, [(2, (0, 9)), (3, (2, 2)), (4, (7, 1))]),
     ]
     tables.build_index(states[0], path, encoder="e", planes=planes, dim=2)
+    assert rows(synced_index(spark, path).select("chunk_key", "embedding")) == rows(states[0])
     schema = change_feed(states[0], states[1], "chunk_key").withColumn("_commit_version", F.lit(1).cast("bigint")).schema
     for version in (1, 2):
         feed = change_feed(states[version - 1], states[version], "chunk_key")

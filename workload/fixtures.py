@@ -99,7 +99,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         F.struct("question").alias("inputs"),
         F.struct(
-            F.array(F.coalesce(first_words("reply", 5), F.lit("no reply")), F.substring("question", 1, 3)).alias("expected_facts")
+            F.array(F.coalesce(first_words("reply", 5), F.lit("no reply")), F.element_at(F.split("question", " "), -1)).alias("expected_facts")
         ).alias("expectations"),
         F.create_map(
             F.lit("category"), F.concat(F.lit("c"), F.col("conv_id") % 5), F.lit("difficulty"), level

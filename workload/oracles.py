@@ -179,7 +179,7 @@ CTES["reaches"] = (
 CTES["examples"] = (
     [],
     """SELECT conv_id, question, reply,
-      [coalesce(array_to_string(list_slice(string_split(reply, ' '), 1, 5), ' '), 'no reply'), left(question, 3)] AS facts,
+      [coalesce(array_to_string(list_slice(string_split(reply, ' '), 1, 5), ' '), 'no reply'), string_split(question, ' ')[-1]] AS facts,
       'c' || (conv_id % 5) AS category,
       CASE conv_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty
     FROM (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS question,
@@ -427,14 +427,12 @@ ORACLES = {
     ),
     "last_user_message": query("SELECT conv_id, last_turn, question FROM opened_gaps", "opened_gaps"),
     "chat_fallback": query(
-        f"""SELECT conv_id, CASE WHEN question = '' THEN '{NO_MESSAGE}' WHEN length(question) > 40 THEN left(question, 40) || '...'
-          ELSE question END AS content FROM opened_gaps""",
+        f"""SELECT conv_id, CASE WHEN question = '' THEN '{NO_MESSAGE}' ELSE 're: ' || question END AS content FROM opened_gaps""",
         "opened_gaps",
     ),
     "chat_reply": query(
         f"""SELECT conv_id, md5(conv_id || '|' || last_turn) AS id, 'assistant' AS role,
-          CASE WHEN question = '' THEN '{NO_MESSAGE}' WHEN length(question) > 40 THEN left(question, 40) || '...'
-          ELSE question END AS content FROM opened_gaps""",
+          CASE WHEN question = '' THEN '{NO_MESSAGE}' ELSE 're: ' || question END AS content FROM opened_gaps""",
         "opened_gaps",
     ),
     "stream_chunks": query("SELECT conv_id, message_id, pos, content FROM message_pieces", "message_pieces"),

@@ -295,7 +295,7 @@ def last_user_message(spark: SparkSession, sf: str) -> DataFrame:
 
 def _short_replies(spark: SparkSession, sf: str) -> DataFrame:
     opened = chat.last_user_message(fx.chat_with_gaps(spark, sf))
-    return opened.withColumn("answer", truncate_text(F.col("question"), 40))
+    return opened.withColumn("answer", F.concat(F.lit("re: "), "question"))
 
 
 def chat_fallback(spark: SparkSession, sf: str) -> DataFrame:
