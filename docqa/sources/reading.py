@@ -68,7 +68,7 @@ def assemble_document(pages: DataFrame, doc: str = "doc_id", page: str = "page_n
         .agg(F.array_sort(F.collect_list(kept)).alias("kept"), F.count("*").alias("page_count"))
         .select(
             doc,
-            F.array_join(F.transform("kept", lambda p: p["text"]), "\n").alias("text"),
+            F.array_join(F.col("kept")["text"], "\n").alias("text"),
             F.col("page_count").cast("bigint").alias("page_count"),
         )
     )
