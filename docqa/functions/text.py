@@ -46,7 +46,7 @@ def split_sections(c: Column) -> Column:
 
 
 def section_title(c: Column) -> Column:
-    return rstrip(F.regexp_extract(c, r"(?U)\A(第\s*\d+\s*条[^\n]*)", 1))
+    return rstrip(F.regexp_extract(c, rf"(?U)\A(第{BLANK}*\d+{BLANK}*条[^\n]*)", 1))
 
 
 def section_content(c: Column, title: Column) -> Column:
