@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,21 +28,62 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Coder:
+    """Ids as ``tokenizers`` gives them for the vocabulary file, with the words of a task remembered.
+
+    A space between two visible characters always begins a new unit of byte-level BPE, so a text may be cut there and each
+    part encoded by itself. Parts not seen before are encoded from the same vocabulary as ranks, which takes a fifth of the
+    time; texts with the special token's string go to ``tokenizers`` whole. ``KEEP`` bounds what is remembered.
+    """
+
+    KEEP = 300_000
+    SPECIAL = "<|endoftext|>"
+    CUT = re.compile(r" (?<=\S )(?=\S)")
+    WIDE = re.compile(r"\s\s")
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path.removesuffix("json") + "tiktoken", "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known: dict[str, list[int]] = {}
+
+    def ids(self, text: str) -> list[int]:
+        if self.SPECIAL in text:
+            return self.whole.encode(text, add_special_tokens=False).ids
+        plain = not self.WIDE.search(text) and text[:1] != " " and text[-1:] != " "
+        parts = text.split(" ") if plain else self.CUT.split(text)
+        out = list(self.part(parts[0]))
+        known, part = self.known, self.part
+        if len(known) > self.KEEP:
+            known.clear()
+        for w in parts[1:]:
+            got = known.get(w)
+            if got is None:
+                got = part(" " + w)
+                if len(w) <= 32:
+                    known[w] = got
+            out += got
+        return out
+
+
 def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``): each document's ids and the end id, cut at multiples of
     ``capacity`` and what is left at multiples of ``PIECE``, since small pieces balance well. A null text is empty: its piece is the end id. Repeated rows give repeated pieces."""
     path = vocabulary_path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(path)
+        coder = Coder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 own, rows = batch.slice(at, 256), []
                 texts = [x or "" for x in own.column("text").to_pylist()]
                 for doc, text in zip(own.column("doc_id").to_pylist(), texts):
-                    ids = np.array([*coder.encode(text, add_special_tokens=False).ids, END_ID], dtype="<u4")
+                    ids = np.array([*coder.ids(text), END_ID], dtype="<u4")
                     whole = len(ids) // capacity * capacity
                     for start in [*range(0, whole, capacity), *range(whole, len(ids), PIECE)]:
                         part = ids[start : start + (capacity if start < whole else PIECE)]
