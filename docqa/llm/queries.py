@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators."""
 
-from docqa.llm import mixing, packing, quality, secrets, simhash
+from docqa.llm import embeddings, licenses, mixing, packing, private, quality, rules, secrets, simhash, tokens
 
-QUERIES = {**secrets.QUERIES, **simhash.QUERIES, **packing.QUERIES, **mixing.QUERIES, **quality.QUERIES}
+MODULES = [secrets, licenses, simhash, embeddings, rules, packing, mixing, private, tokens, quality]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
