@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docqa.llm.common import spread, table
+from docqa.llm.common import table
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "found"])
 
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return spread(raw).mapInArrow(run, "doc_id long, found array<struct<license:string,first_word:long,end_word:long>>")
+    return raw.mapInArrow(run, "doc_id long, found array<struct<license:string,first_word:long,end_word:long>>")
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:

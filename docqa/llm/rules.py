@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docqa.llm.common import spread, table
+from docqa.llm.common import table
 from docqa.workspace import settle
 
 SYMBOLS = "#*$%&|<>"
@@ -67,7 +67,7 @@ def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     tasks. Null languages and sources are groups of their own; repeated rows count as often as they occur; a text without words
     fails the base; an empty table gives none.
     """
-    rows = settle(measured(spread(docs)), "measured")
+    rows = settle(measured(docs), "measured")
     words = F.greatest(F.col("n_words"), F.lit(1))
     share = {
         "symbols": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
