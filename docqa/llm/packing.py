@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docqa.llm.common import spread, table
+from docqa.llm.common import table
 from docqa.workspace import settle
 
 CAPACITY = 2048
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:

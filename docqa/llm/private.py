@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docqa.llm.common import spread, table
+from docqa.llm.common import table
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -263,7 +263,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "found"])
 
     schema = "doc_id long, found array<struct<start:long,rank:long,kind:string,end:long>>"
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def digest(found: list[tuple[int, int, str, int]]) -> str:

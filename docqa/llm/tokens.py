@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docqa.llm.common import spread, table
+from docqa.llm.common import table
 from docqa.llm.packing import Coder, vocabulary
 from docqa.workspace import settle
 
@@ -23,7 +23,7 @@ def lengths(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
             n = [len(coder.ids(x.as_py())) if x.as_py() else 0 for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def histogram(docs: DataFrame) -> DataFrame:
