@@ -1,66 +1,15 @@
-"""Settings: explicit argument, else environment variable, else default. An empty value counts as unset."""
+"""The settings that jobs read: a given value, else the environment's, else the default. Empty values count as unset."""
 
 from __future__ import annotations
 
 import os
-from dataclasses import asdict, dataclass
 
+# Fixed names: users set these already.
+ENVIRONMENT = {"k": "RETRIEVER_TOP_K", "chunk_table": "DELTA_TABLE_NAME"}
+DEFAULTS = {"k": 5, "chunk_table": "docqa_chunks"}
 
-def _pick(value, env: str, default):
-    if value:
-        return value
-    return os.environ.get(env) or default
 
-
-@dataclass(frozen=True)
-class Config:
-    catalog: str
-    schema: str
-    chunk_table: str
-    index_name: str
-    search_endpoint: str
-    embedding_model: str
-    generator: str
-    serving_endpoint: str
-    top_k: int
-
-    @classmethod
-    def resolve(
-        cls,
-        catalog: str | None = None,
-        schema: str | None = None,
-        chunk_table: str | None = None,
-        index_name: str | None = None,
-        search_endpoint: str | None = None,
-        embedding_model: str | None = None,
-        generator: str | None = None,
-        serving_endpoint: str | None = None,
-        top_k: int | None = None,
-    ) -> "Config":
-        catalog = _pick(catalog, "CATALOG", "spark_catalog")
-        schema = _pick(schema, "SCHEMA", "docqa")
-        return cls(
-            catalog=catalog,
-            schema=schema,
-            chunk_table=_pick(chunk_table, "DELTA_TABLE_NAME", f"{catalog}.{schema}.chunks"),
-            index_name=_pick(index_name, "VECTOR_INDEX_NAME", f"{catalog}.{schema}.chunk_index"),
-            search_endpoint=_pick(search_endpoint, "VECTOR_SEARCH_ENDPOINT", "docqa-search"),
-            embedding_model=_pick(embedding_model, "QUERY_EMBEDDING_MODEL", "hash-256"),
-            generator=_pick(generator, "LLM_ENDPOINT", "extractive"),
-            serving_endpoint=_pick(serving_endpoint, "SERVING_ENDPOINT_NAME", "docqa-serving"),
-            top_k=int(_pick(top_k, "RETRIEVER_TOP_K", 5)),
-        )
-
-    def to_dict(self) -> dict[str, str]:
-        names = {
-            "catalog": "CATALOG",
-            "schema": "SCHEMA",
-            "chunk_table": "DELTA_TABLE_NAME",
-            "index_name": "VECTOR_INDEX_NAME",
-            "search_endpoint": "VECTOR_SEARCH_ENDPOINT",
-            "embedding_model": "QUERY_EMBEDDING_MODEL",
-            "generator": "LLM_ENDPOINT",
-            "serving_endpoint": "SERVING_ENDPOINT_NAME",
-            "top_k": "RETRIEVER_TOP_K",
-        }
-        return {names[k]: str(v) for k, v in asdict(self).items()}
+def setting(name: str, given=None):
+    """``k`` (hits of a question) or ``chunk_table`` (the saved chunks), of the type of its default."""
+    default = DEFAULTS[name]
+    return type(default)(given or os.environ.get(ENVIRONMENT[name]) or default)

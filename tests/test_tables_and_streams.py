@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docqa.config import Config
+from docqa.config import setting
 from docqa.operators.changes import apply_changes, change_feed
 from docqa.operators.chat import last_user_message
 from docqa.operators.embedding import HashEncoder
@@ -178,9 +178,8 @@ def test_settle_computes_once(spark):
     assert rows(df) == rows(df)
 
 
-def test_config(monkeypatch):
+def test_settings(monkeypatch):
     monkeypatch.setenv("RETRIEVER_TOP_K", "7")
-    monkeypatch.setenv("SCHEMA", "")
-    assert Config.resolve().top_k == 7 and Config.resolve(top_k=3).top_k == 3
-    assert Config.resolve().schema == "docqa" and Config.resolve(schema="s").chunk_table.endswith(".s.chunks")
-    assert Config.resolve().to_dict()["RETRIEVER_TOP_K"] == "7"
+    monkeypatch.setenv("DELTA_TABLE_NAME", "")
+    assert setting("k") == 7 and setting("k", 3) == 3
+    assert setting("chunk_table") == "docqa_chunks" and setting("chunk_table", "s.t") == "s.t"

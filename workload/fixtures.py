@@ -46,8 +46,16 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations without their short user messages, so that some have no user message at all."""
-    return conversations(spark, sf_dir).filter((F.col("role") != "user") | (F.char_length("text") >= 150))
+    """All conversations, and each once more without a user message."""
+    return with_gaps(conversations(spark, sf_dir))
+
+
+def with_gaps(messages: DataFrame) -> DataFrame:
+    """All messages, and each again under a negative conv_id with the system's role in place of the user's; also for streams."""
+    other = F.when(F.col("role") == "user", "system").otherwise(F.col("role"))
+    both = F.array(F.struct("conv_id", "role"), F.struct((-1 - F.col("conv_id")).alias("conv_id"), other.alias("role")))
+    rest = [c for c in messages.columns if c not in ("conv_id", "role")]
+    return messages.select(F.explode(both).alias("as"), *rest).select("as.conv_id", *rest[:1], "as.role", *rest[1:])
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "messages": (
         [],
-        "SELECT * FROM conversations WHERE role <> 'user' OR length(text) >= 150",
+        """SELECT conv_id, turn, role, text FROM conversations UNION ALL
+        SELECT -1 - conv_id, turn, CASE WHEN role = 'user' THEN 'system' ELSE role END, text FROM conversations""",
     ),
     "opened": (
         [],
@@ -259,8 +260,8 @@ def pieces(name: str, rows: str, needs: list[str]) -> None:
 pieces(
     "message_pieces",
     """SELECT conv_id, md5(conv_id || '|' || turn) AS message_id, replace(text, '.', '。') AS answer,
-      CASE WHEN role <> 'user' OR length(text) >= 150 THEN replace(text, '.', '。') ELSE '' END AS question
-    FROM conversations WHERE role <> 'system'""",
+      CASE WHEN role <> 'system' THEN replace(text, '.', '。') ELSE '' END AS question
+    FROM conversations""",
     [],
 )
 pieces(

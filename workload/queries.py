@@ -309,10 +309,10 @@ def chat_reply(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Every message that is not the system's, cut into pieces; user messages below 150 characters count as missing."""
+    """Every message cut into pieces; the system's messages count as a missing question."""
     text = F.replace("text", F.lit("."), F.lit("。"))
-    present = (F.col("role") != "user") | (F.char_length("text") >= 150)
-    rows = fx.conversations(spark, sf).filter(F.col("role") != "system").select(
+    present = F.col("role") != "system"
+    rows = fx.conversations(spark, sf).select(
         "conv_id",
         F.col("turn").alias("last_turn"),
         F.when(present, text).otherwise("").alias("question"),
@@ -561,8 +561,7 @@ def chat_stream(spark: SparkSession, sf: str) -> DataFrame:
         .option("pathGlobFilter", "conversations.parquet")
         .parquet(sf)
     )
-    messages = messages.filter((F.col("role") != "user") | (F.char_length("text") >= 150))
-    jobs.chat_stream(messages, reply, out, new_folder(spark, "checkpoint")).awaitTermination()
+    jobs.chat_stream(fx.with_gaps(messages), reply, out, new_folder(spark, "checkpoint")).awaitTermination()
     return jobs.reply_pieces(spark, out).select(
         "conv_id", "message_id", F.col("pos").cast("bigint").alias("pos"), "content"
     )
