@@ -183,3 +183,11 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("DELTA_TABLE_NAME", "")
     assert setting("k") == 7 and setting("k", 3) == 3
     assert setting("chunk_table") == "docqa_chunks" and setting("chunk_table", "s.t") == "s.t"
+
+
+@pytest.mark.parametrize("bad", [None, [], [1.0, None], [1.0, float("nan")], [float("inf"), 1.0]])
+def test_unusable_vectors_fail_the_build(spark, tmp_path, bad):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", bad)], "chunk_key string, embedding array<float>")
+    with pytest.raises(ValueError, match="no usable vector"):
+        tables.build_index(df, str(tmp_path / "index"))
+    assert not tables.published_versions(spark, str(tmp_path / "index"))
