@@ -31,7 +31,8 @@ def poisson_count(rate: Column, key: Column, seed: int) -> Column:
 def mix(docs: DataFrame, alpha: float = 0.5, seed: int = 7) -> DataFrame:
     """Sources at shares proportional to share ** alpha; each document is repeated by its count.
 
-    A null source is a source; rows of one ``doc_id`` and text get the same count; an empty table gives none.
+    A null source is a source; rows of one ``doc_id`` and text get the same count, null, empty and long texts too; an empty
+    table gives none. Columns ``copy_no`` and ``shuffle_key`` of the input are replaced.
     """
     sizes = docs.groupBy("source").agg(F.count("*").alias("__n"))
     total = sizes.agg(F.sum("__n"), F.sum(F.pow("__n", F.lit(alpha)))).first()
@@ -43,7 +44,7 @@ def mix(docs: DataFrame, alpha: float = 0.5, seed: int = 7) -> DataFrame:
     rows = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c"))))
     order = F.xxhash64(key, "__copy", F.lit(seed + 1))
     shuffled = rows.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order")
-    return shuffled.select(*docs.columns, F.col("__copy").alias("copy_no"), F.col("__order").alias("shuffle_key"))
+    return shuffled.select(*(c for c in docs.columns if c not in ("copy_no", "shuffle_key")), F.col("__copy").alias("copy_no"), F.col("__order").alias("shuffle_key"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

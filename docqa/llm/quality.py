@@ -131,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | Non
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
     """``docs`` with ``quality_score``, the net's score of every whole text. A null text scores as an empty one; without a
-    net (no positives, or no documents) every score is 0.5. Rows, repeated ones too, and all other columns stay."""
+    net (no positives, or no documents) every score is 0.5. Rows, repeated ones too, and all other columns stay; a
+    column ``quality_score`` of the input is replaced."""
+    docs = docs.drop("quality_score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

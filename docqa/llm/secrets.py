@@ -106,15 +106,16 @@ def scan(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
 
     Every rule is verified on the whole text of each candidate of its trigram query; rules without mandatory trigrams run
     on all texts. Null and empty texts have no spans; every row stays, repeated ones too; no column but ``text`` is read.
+    A column ``secret_spans`` of the input is replaced.
     """
-    found = candidates(docs, rules)
-    marked = docs.withColumn("__h", F.xxhash64("text")).join(found, F.col("__h") == found["text_hash"], "left")
+    found = candidates(docs, rules).select(F.col("text_hash").alias("__hash"), F.col("mask").alias("__mask"))
+    marked = docs.withColumn("__h", F.xxhash64("text")).join(found, F.col("__h") == F.col("__hash"), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    text, mask, parts = F.col("text"), F.coalesce("mask", F.lit(0)), []
+    text, mask, parts = F.col("text"), F.coalesce("__mask", F.lit(0)), []
     for rank, (kind, pattern) in enumerate(rules.items()):
         may = mask.bitwiseAND(F.lit(1 << rank)) != 0 if trigram_query(pattern) else F.lit(True)
         parts.append(F.when(may & text.rlike(pattern), _spans(text, rank, kind, pattern)).otherwise(none))
-    return marked.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("__h", "text_hash", "mask")
+    return marked.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("__h", "__hash", "__mask")
 
 
 def joined(spans: Column) -> Column:
