@@ -6,6 +6,7 @@ import base64
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from docqa.workspace import settle
 
 CAPACITY = 2048
 END_ID = 1
+END = END_ID.to_bytes(4, "little")
 PIECE = 512  # longest piece of what is left of a document after its full windows
 GROUP = 256  # pieces that are differenced together, on average
 
@@ -52,23 +54,26 @@ class Coder:
         self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, list[int]] = {}
 
-    def ids(self, text: str) -> list[int]:
+    def _new(self, word: str) -> bytes:
+        got = array("I", self.part(" " + word)).tobytes()
+        if len(word) <= 32:
+            self.known[word] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit integers."""
         if self.SPECIAL in text:
-            return self.whole.encode(text, add_special_tokens=False).ids
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         plain = not self.WIDE.search(text) and text[:1] != " " and text[-1:] != " "
         parts = text.split(" ") if plain else self.CUT.split(text)
-        out = list(self.part(parts[0]))
-        known, part = self.known, self.part
-        if len(known) > self.KEEP:
-            known.clear()
-        for w in parts[1:]:
-            got = known.get(w)
-            if got is None:
-                got = part(" " + w)
-                if len(w) <= 32:
-                    known[w] = got
-            out += got
-        return out
+        if len(self.known) > self.KEEP:
+            self.known.clear()
+        first = array("I", self.part(parts[0])).tobytes()
+        have, new = self.known.get, self._new
+        return first + b"".join([have(w) or new(w) for w in parts[1:]])
+
+    def ids(self, text: str) -> list[int]:
+        return array("I", self.encode(text)).tolist()
 
 
 def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -83,11 +88,11 @@ def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
                 own, rows = batch.slice(at, 256), []
                 texts = [x or "" for x in own.column("text").to_pylist()]
                 for doc, text in zip(own.column("doc_id").to_pylist(), texts):
-                    ids = np.array([*coder.ids(text), END_ID], dtype="<u4")
+                    ids = np.frombuffer(coder.encode(text) + END, dtype="<u4")
                     whole = len(ids) // capacity * capacity
                     for start in [*range(0, whole, capacity), *range(whole, len(ids), PIECE)]:
                         part = ids[start : start + (capacity if start < whole else PIECE)]
-                        rows.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype("i4")] if with_ids else [])))
+                        rows.append((doc, start, len(part), zlib.crc32(part), len(ids), *([part.astype("i4")] if with_ids else [])))
                 cols = [pa.array(x, pa.int64()) for x in list(zip(*rows))[:5]]
                 cols += [pa.array([r[5] for r in rows], pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)])

@@ -20,7 +20,7 @@ def lengths(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path)
         for batch in batches:
-            n = [len(coder.ids(x.as_py())) if x.as_py() else 0 for x in batch.column("text")]
+            n = [len(coder.encode(x.as_py())) // 4 if x.as_py() else 0 for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
