@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docqa.workspace import settle
+
 STEP = 32.0
+MOST_SOURCES = 100_000  # rates that are broadcast at most
 
 
 def poisson_count(rate: Column, key: Column, seed: int) -> Column:
@@ -31,13 +34,15 @@ def poisson_count(rate: Column, key: Column, seed: int) -> Column:
 def mix(docs: DataFrame, alpha: float = 0.5, seed: int = 7) -> DataFrame:
     """Sources at shares proportional to share ** alpha; each document is repeated by its count.
 
-    A null source is a source; rows of one ``doc_id`` and text get the same count, null, empty and long texts too; an empty
-    table gives none. Columns ``copy_no`` and ``shuffle_key`` of the input are replaced.
+    The rates of up to ``MOST_SOURCES`` sources are broadcast, so texts stay where they are until the global shuffle; more are
+    joined by key. A null source is a source; rows of one ``doc_id`` and text get the same count, null, empty and long texts
+    too; an empty table gives none. Columns ``copy_no`` and ``shuffle_key`` of the input are replaced.
     """
-    sizes = docs.groupBy("source").agg(F.count("*").alias("__n"))
-    total = sizes.agg(F.sum("__n"), F.sum(F.pow("__n", F.lit(alpha)))).first()
+    sizes = settle(docs.groupBy("source").agg(F.count("*").alias("__n")), "sources")
+    total = sizes.agg(F.sum("__n"), F.sum(F.pow("__n", F.lit(alpha))), F.count("*")).first()
     rate = F.pow("__n", F.lit(alpha)) / F.lit(total[1] or 1.0) * F.lit(float(total[0] or 0)) / F.col("__n")
     rates = sizes.select(F.col("source").alias("__source"), rate.alias("__rate"))
+    rates = F.broadcast(rates) if total[2] <= MOST_SOURCES else rates
     joined = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]))
     key = F.xxhash64("doc_id", "text")
     copies = joined.withColumn("__c", poisson_count(F.col("__rate"), key, seed)).filter("__c > 0")
