@@ -19,13 +19,13 @@ TABLES, PROJECTIONS, WIDTH = 24, 8, 2.0
 
 
 def bucket_keys(vectors: np.ndarray, seed: int = 11) -> np.ndarray:
-    """One 64-bit key for each unit vector and table: its quantised random projections, hashed."""
+    """One 32-bit key for each unit vector and table: its quantised random projections, hashed; a clash only adds candidates."""
     rng = np.random.default_rng(seed)
     a = rng.standard_normal((vectors.shape[1], TABLES * PROJECTIONS))
     b = rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
     mix = rng.integers(1, 1 << 63, (TABLES, PROJECTIONS), dtype=np.uint64) | np.uint64(1)
     cells = np.floor((vectors @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, TABLES, PROJECTIONS)
-    return (cells * mix).sum(axis=2, dtype=np.uint64).view(np.int64)
+    return ((cells * mix).sum(axis=2, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def _hashed(rows: DataFrame) -> DataFrame:
                 own = np.array([x[i] for i in at])
                 for i, k in zip(at, bucket_keys(own / np.linalg.norm(own, axis=1, keepdims=True)).tolist()):
                     keys[i] = k
-            made = pa.array(keys, pa.list_(pa.int64()))
+            made = pa.array(keys, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "cells"])
 
-    return rows.mapInArrow(run, "cid long, n long, label long, vec array<float>, cells array<long>")
+    return rows.mapInArrow(run, "cid long, n long, label long, vec array<float>, cells array<int>")
 
 
 def _compare(least: float):
@@ -93,9 +93,12 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     rows = rows.withColumn("valid", valid)
     classes = rows.filter("valid").groupBy("label", "vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     classes = settle(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    hashed = _hashed(spread(classes.select("cid", "n", "label", "vec")))
-    cells = hashed.select("*", F.posexplode("cells").alias("t", "cell")).withColumn("bucket", F.xxhash64("label", "t", "cell"))
-    found = settle(by_unit(in_blocks(cells.drop("cell"), "bucket", F.col("cid")), _compare(least), "u long, v long, links long"), "found")
+    hashed = settle(_hashed(spread(classes.select("cid", "n", "label", "vec"))), "hashed")
+    # Buckets are counted and cut without vectors; those join only the rows that share a bucket with another.
+    cells = hashed.select("cid", "label", F.posexplode("cells").alias("t", "cell"))
+    cells = cells.select("cid", "t", F.xxhash64("label", "t", "cell").alias("bucket"))
+    units = in_blocks(cells, "bucket", F.col("cid")).drop("bucket")
+    found = settle(by_unit(units.join(hashed, "cid"), _compare(least), "u long, v long, links long"), "found")
     links = found.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     roots = components(found.select("u", "v").filter("u <> v"))
     known = classes.join(links, "cid", "left").join(roots, classes["cid"] == roots["node"], "left")
