@@ -79,6 +79,15 @@ def test_mixed_dimensions_fail(spark):
         retrieval.topk(asked, bad).collect()
 
 
+@pytest.mark.parametrize("metric", retrieval.METRICS)
+@pytest.mark.parametrize("bad", [float("nan"), None, float("inf")])
+def test_vectors_that_are_not_finite_fail(spark, metric, bad):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, bad])], "chunk_key bigint, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="finite"):
+        retrieval.topk(asked, rows, 2, metric).collect()
+
+
 def test_string_keys_break_ties_by_text_order(spark):
     x = spark.createDataFrame([(k, [1.0, 0.0]) for k in ["9:0", "10:0", "10:1", "2:0"]], "chunk_key string, embedding array<float>")
     q = spark.createDataFrame([(1, [2.0, 0.0])], "query_id bigint, embedding array<float>")

@@ -90,6 +90,46 @@ def test_streamed_documents_equal_batch_and_replace_older_versions(spark):
     )
 
 
+CHANGES = "chunk_key bigint, embedding array<float>, _change_type string, _commit_version bigint"
+
+
+def add_changes(spark, inbox, rows):
+    spark.createDataFrame([(k, [1.0, float(k)], "insert", v) for k, v in rows], CHANGES).coalesce(1).write.mode("append").parquet(inbox)
+    return spark.readStream.schema(CHANGES).parquet(inbox)
+
+
+def test_one_commit_in_two_batches_with_a_fold_between(spark):
+    path, inbox, checkpoint = (new_folder(spark, n) for n in ("ix", "in", "cp"))
+    tables.build_index(vectors(spark, [(0, (1, 0))]), path)
+    jobs.sync_index(add_changes(spark, inbox, [(1, 1)]), path, checkpoint).awaitTermination()
+    fold_changes(spark, path)
+    jobs.sync_index(add_changes(spark, inbox, [(2, 1)]), path, checkpoint).awaitTermination()
+    assert sorted(r.chunk_key for r in synced_index(spark, path).collect()) == [0, 1, 2]
+
+
+def test_a_new_checkpoint_keeps_earlier_changes(spark):
+    path = new_folder(spark, "ix")
+    tables.build_index(vectors(spark, [(0, (1, 0))]), path)
+    for key in (1, 2):
+        stream = add_changes(spark, new_folder(spark, "in"), [(key, key)])
+        jobs.sync_index(stream, path, new_folder(spark, "cp")).awaitTermination()
+    assert sorted(r.chunk_key for r in synced_index(spark, path).collect()) == [0, 1, 2]
+
+
+def test_versions_of_a_document(spark):
+    inbox, out, checkpoint = (new_folder(spark, n) for n in ("docs", "out", "cp"))
+    encoder, schema = HashEncoder(8), "doc_id bigint, text string, v int"
+    for part in ([(1, "old", 1), (1, "new", 2), (2, "x", 5)], [(2, "older", 4)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        jobs.index_stream(spark.readStream.schema(schema).parquet(inbox), out, checkpoint, encoder, version="v").awaitTermination()
+    assert {(r.chunk_key, r.chunked_text) for r in jobs.streamed_chunks(spark, out).collect()} == {("1:0", "new"), ("2:0", "x")}
+    stream = spark.readStream.schema(schema).parquet(inbox)
+    with pytest.raises(Exception, match="another stream"):
+        jobs.index_stream(stream, out, new_folder(spark, "cp"), encoder, version="v").awaitTermination()
+    with pytest.raises(Exception, match="repeats a document"):
+        jobs.index_stream(stream, new_folder(spark, "out"), new_folder(spark, "cp"), encoder).awaitTermination()
+
+
 MESSAGES = "conv_id bigint, turn bigint, role string, text string"
 
 
