@@ -106,6 +106,24 @@ def test_approx_is_whole_and_close_to_exact(spark):
     assert len(near) == 40 and len(near & exact) >= 36
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_approx_with_a_wanted_recall_finds_it_on_the_embeddings(spark, stored):
+    """All 2,000 vectors of sf 0.1 as index and as questions; a vector itself does not count as its neighbour."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.array(v.embedding.tolist())
+    asked, rows = frame(spark, x, "query_id"), frame(spark, x, "chunk_key")
+    index = tables.build_index(rows, new_folder(spark, "t"), encoder="e", planes=6, dim=64) if stored else rows
+    exact = {(q, c) for q, c, _ in brute_many(x, 6) if q != c}
+    got = {(q, c) for q, c, _ in found(retrieval.topk_approx(asked, index, 6, dim=64, planes=6, recall=0.9)) if q != c}
+    assert len(got & exact) >= 0.9 * len(exact)
+
+
+def brute_many(x, k):
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    best = np.argsort(-(u @ u.T), axis=1, kind="stable")[:, :k]
+    return {(i, int(j), rank + 1) for i, row in enumerate(best) for rank, j in enumerate(row)}
+
+
 def test_approx_widens_until_k_rows_are_in_reach(spark):
     q, x = vectors(12, 9), vectors(20, 10)
     got = retrieval.topk_approx(frame(spark, q, "query_id"), frame(spark, x, "chunk_key"), 15, dim=DIM, planes=5, reach=0)
