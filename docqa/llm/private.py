@@ -210,7 +210,8 @@ class Tagger:
             known[w] = len(known)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def spans(self, texts: list[str]) -> list[list[tuple[int, int, str, int]]]:
+    def runs(self, texts: list[str]) -> list[list[list[tuple[int, int]]]]:
+        """Start and end of the words of each run of tagged words, for each text."""
         if len(self.known) > self.KEEP:
             self.known, self.scores = {"": 0}, self.scores[:1024]
         ids = [self.ids(t.split()) for t in texts]
@@ -232,19 +233,55 @@ class Tagger:
             if own.any():
                 for k, m in enumerate(re.finditer(r"\S+", text)):
                     if own[k]:
-                        end = m.start() + len(m.group().rstrip(".,;:!?")) or m.end()
                         if k and own[k - 1] and found:
-                            found[-1] = (*found[-1][:3], end)
+                            found[-1].append(m.span())
                         else:
-                            found.append((m.start(), len(KINDS), "crf", end))
+                            found.append([m.span()])
             out.append(found)
         return out
 
 
+def free_spans(text: str, runs: list[list[tuple[int, int]]], base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Spans of the runs of tagged words less the base spans; a stretch on either side of a base span is a span of its own.
+
+    What a base span leaves of a word it cuts stays if it holds a letter or digit.
+    """
+    taken = []
+    for a, _, _, b in sorted(base, key=lambda s: s[0]):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    out, at = [], 0
+    for run in runs:
+        stretch = None
+        for start, end in run:
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+                stretch = None  # a base span lies before this word
+            pieces, low, k = [], start, at
+            while k < len(taken) and taken[k][0] < end:
+                pieces.append((low, taken[k][0]))
+                low, k = taken[k][1], k + 1
+            cut = bool(pieces)
+            pieces.append((low, end))
+            for i, (a, b) in enumerate(pieces):
+                if cut and not any(c.isalnum() for c in text[a:b]):
+                    stretch = None
+                    continue
+                b = a + len(text[a:b].rstrip(".,;:!?")) or b
+                if stretch is not None and not i:
+                    out[stretch] = (*out[stretch][:3], b)
+                else:
+                    stretch = len(out)
+                    out.append((a, len(KINDS), "crf", b))
+    return out
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``found`` (start, rank, kind, end; code points, end exclusive) of every whole text.
 
-    Base spans always stay; a span of the field is added where it meets no base span. Null and empty texts have none; repeated
+    Base spans always stay; what they leave of a run of words tagged by the field is added, each stretch as its own span. Null and empty texts have none; repeated
     rows stay; an empty table gives none; other columns are not read.
     """
     model = trained()
@@ -256,9 +293,9 @@ def spans(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 own = batch.slice(at, 512)
                 texts, rows = [x or "" for x in own.column("text").to_pylist()], []
-                for text, more in zip(texts, tagger.spans(texts)):
+                for text, more in zip(texts, tagger.runs(texts)):
                     base = base_spans(text)
-                    free = [s for s in more if all(s[3] <= b[0] or b[3] <= s[0] for b in base)]
+                    free = free_spans(text, more, base)
                     rows.append([dict(zip(("start", "rank", "kind", "end"), s)) for s in sorted([*base, *free], key=lambda s: s[:2])])
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "found"])
 

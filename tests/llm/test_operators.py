@@ -227,6 +227,37 @@ def test_private(docs, none, texts):
     assert private.spans(none).count() == 0 and private.luhn("4111111111111111") and not private.luhn("4111111111111112")
 
 
+def test_private_keeps_what_adjoins_a_base_span(spark):
+    texts = ["call 123-45-6789 +15559876543, (555) 123-4567 now", "123-45-6789\n+15559876543\n987-65-4321\n4111 1111 1111 1111\n(212) 555-0187"]
+    for t, r in zip(texts, sorted(private.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())):
+        base = [x for x in r.found if x["rank"] < 4]
+        crf = [x for x in r.found if x["kind"] == "crf"]
+        assert base and all(x["end"] <= b["start"] or b["end"] <= x["start"] for x in crf for b in base)
+        for item in re.findall(r"\(?\d{3}\) \d{3}-\d{4}|\b\d{3}-\d\d-\d{4}", t):
+            at = t.index(item)
+            assert any(x["start"] <= at and at + len(item) <= x["end"] for x in crf), item
+
+
+def test_free_spans_equal_a_subtraction_of_places():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab12 ,"), 40))
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        tags = rng.random(len(words)) < 0.7
+        runs = []
+        for k, w in enumerate(words):
+            if tags[k]:
+                (runs[-1].append(w) if k and tags[k - 1] else runs.append([w]))
+        base = sorted((int(a), 0, "email", int(a) + int(n)) for a, n in zip(rng.integers(0, 36, 3), rng.integers(1, 5, 3)))
+        taken = {i for a, _, _, b in base for i in range(a, b)}
+        got = private.free_spans(text, runs, base)
+        inside = {i for a, _, _, b in got for i in range(a, b)}
+        assert not inside & taken and all(a < b for a, _, _, b in got)
+        assert sum(b - a for a, _, _, b in got) == len(inside)
+        assert {i for r in runs for a, b in r for i in range(a, b) if text[i].isalnum()} - taken <= inside
+        assert inside <= {i for r in runs for i in range(r[0][0], r[-1][1])}
+
+
 def test_viterbi():
     rng = np.random.default_rng(3)
     for _ in range(200):
