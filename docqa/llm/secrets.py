@@ -13,8 +13,15 @@ from docqa.llm.common import table
 # The contract's kinds in its order. {n,} equals the plain run with a shorter match dropped.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
+# A key runs to its END line; it never runs over another line of five hyphens. Without END it runs over its header lines and
+# base64 words, and a short last line. Nested repeats are bounded, as Java takes stack for each round.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"""(?:[^-]*+(?:-[^-]++){0,200}+-----END [A-Z ]{0,40}PRIVATE KEY-----"""
+    r"""|(?:[ \t\r\n\\"'>#*,|]*+[A-Z][A-Za-z-]{1,30}:\x20[^\r\n]*+){0,8}+(?:[ \t\r\n\\"'>#*,|]*+[A-Za-z0-9+/=]{16,}+){0,1000}+(?:(?<=[A-Za-z0-9+/=]{16})\r?\n[ \t>#*|]{0,8}[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?)"""
+)
 MORE = {
-    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "pem": PEM,
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",

@@ -61,6 +61,28 @@ def test_secrets(docs, none, texts):
         assert r.text is None or not brute(r.text) and r.n_chars == len(r.text)
 
 
+def test_redact_leaves_no_key_body(spark):
+    lines = [f"{k:04d}" + "Ab+/" * 15 for k in range(40)] + ["tail0123456=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B2C\n\n"
+    body = "\n".join(lines)
+    texts = [
+        f"before text\n{begin}\n{body}\n{end}\nafter text", f"before text {begin} {' '.join(lines)} {end} after text", f"before text {begin}\\n{'\\n'.join(lines)}\\n{end} after text",
+        f"before text\n{begin}\n{head}{body}\n{end}\nafter text", f"before text\n{begin}\n{body}\nafter text", f"before text\n{begin}\n{head}{body}\n\nafter text", f"before text\n{begin}\n{body}",
+        f"before text\n{begin}\n{body}\nmiddle text and on\n{begin}\n{body}\n{end}\nafter text", "before text\r\n" + "\r\n".join([begin, *lines, end]) + "\r\nafter text",
+        "\n".join(f"# {x}" for x in ["before text", begin, *lines, end, "after text"]), f"before text {begin} - " + "a-b " * 30_000 + "after text", f"before text {begin} after text",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.redact(docs).collect():
+        assert "before text" in r.text and ("after text" in r.text or r.doc_id == 6), r.doc_id
+        assert secrets.MASK in r.text and "PRIVATE KEY" not in r.text, r.doc_id
+        assert not any(x in r.text for x in lines), r.doc_id
+        assert r.doc_id != 7 or "middle text and on" in r.text
+    for r in secrets.scan(docs).collect():
+        assert [(x["start"], x["end"]) for x in r.secret_spans if x["kind"] == "pem"] == [m.span() for m in re.finditer(secrets.PEM, r.text)]
+    assert secrets.trigram_query(secrets.PEM) == secrets.trigram_query(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+
+
 def test_secrets_stay_in_the_jvm(docs):
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
