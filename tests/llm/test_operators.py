@@ -189,6 +189,58 @@ def test_rules(docs, none, texts):
     assert rules.judge(none).count() == 0
 
 
+def verdict(rows):
+    """Brute force of ``kept``: rows are (lang, source, base_failed, shares by rule); rank ceil(q * n), as the sketch takes it."""
+
+    def quartiles(own):
+        return {k: [sorted(x[3][k] for x in own)[-(-len(own) * q // 4) - 1] for q in (1, 3)] for k in rules.RULES}
+
+    def mixed(own, parent, n):
+        out = {}
+        for k, (side, least) in rules.RULES.items():
+            width = rules.FENCE * max(parent[k][1] - parent[k][0], least)
+            far = own[k][1] > parent[k][1] + width if side > 0 else own[k][0] < parent[k][0] - width
+            out[k] = parent[k] if far else [(n * a + rules.BLEND * b) / (n + rules.BLEND) for a, b in zip(own[k], parent[k])]
+        return out
+
+    good, kept = [x for x in rows if not x[2]], []
+    for x in rows:
+        if x[2]:
+            kept.append(False)
+            continue
+        lang = [y for y in good if y[0] == x[0]]
+        own = [y for y in lang if y[1] == x[1]]
+        q = mixed(quartiles(own), mixed(quartiles(lang), quartiles(good), len(lang)), len(own))
+        ok = True
+        for k, (side, least) in rules.RULES.items():
+            width = rules.FENCE * max(q[k][1] - q[k][0], least)
+            ok &= not (x[3][k] > q[k][1] + width + 1e-9 if side > 0 else x[3][k] < q[k][0] - width - 1e-9)
+        kept.append(ok)
+    return kept
+
+
+def test_rules_verdict_equals_brute_force(docs):
+    got = rules.judge(docs).collect()
+
+    def shares(r):
+        words = max(r.n_words, 1)
+        length = r.word_chars / words
+        return {"symbols": r.n_symbols / max(r.word_chars, 1), "dup_lines": r.n_dup_lines / max(r.n_lines, 1), "repeats": r.n_repeat_words / words, "word_len": length, "word_len_low": length}
+
+    assert [r.kept for r in got] == verdict([(r.lang, r.source, r.base_failed, shares(r)) for r in got])
+    assert any(not r.kept and not r.base_failed for r in got)
+
+
+def test_rules_reject_junk_of_small_and_of_bad_sources(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(4000)]
+    text = lambda junk: " ".join(w + ("####" if junk else "") for w in rng.choice(words, 80, replace=False))
+    rows = [(i, text(False), "en", "large") for i in range(200)] + [(1000, text(True), "en", "one row"), (1001, text(False), "en", "one good row"), (1002, text(True), "xx", "other language")]
+    rows += [(2000 + i, text(i % 3 == 0), "en", "a third junk") for i in range(60)]
+    kept = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == {r[0]: "####" not in r[1] for r in rows}
+
+
 def test_packing(docs, none, texts):
     from tokenizers import Tokenizer
 
