@@ -14,6 +14,7 @@ from docqa.llm.common import table
 
 SHINGLE = 5
 CONTAINED = 0.8
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # One row a band: a window twice as wide as a template's class holds at least a fifth of the joint shingles, so that one of the
 # 32 bands meets with probability 1 - 0.8 ** 32 = 0.9992 at least. Templates of one shingle meet surely.
 BANDS = 32
@@ -45,13 +46,20 @@ def _odd(n: int, seed: int) -> np.ndarray:
 PLACES, ROWS = _odd(SHINGLE, 3), _odd(BANDS, 4)
 
 
-def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """A hash of each five-word shingle; empty for fewer words."""
+def _plain(word: bytes) -> bytes:
+    """A word without the ASCII signs at its edges; nothing is left of comment markers and the like."""
+    return word.strip(SIGNS) if word.isascii() or any(c.isalnum() for c in word.decode("utf-8", "replace")) else b""
+
+
+def _hashes(words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each shingle of five plain words, none for fewer; and the places of the plain words among all words."""
     for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
+        plain = _plain(w)
+        known[w] = (xxhash.xxh64_intdigest(plain) or 1) if plain else 0
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
-    return sum(h[k : k + n] * PLACES[k] for k in range(SHINGLE)) if n > 0 else np.zeros(0, np.uint64)
+    places = np.nonzero(h)[0]
+    h, n = h[places], len(places) - SHINGLE + 1
+    return sum(h[k : k + n] * PLACES[k] for k in range(SHINGLE)) if n > 0 else np.zeros(0, np.uint64), places
 
 
 def _permuted(h: np.ndarray, band: int) -> np.ndarray:
@@ -66,8 +74,8 @@ class Index:
         self.names = list(templates)
         self.shingles, self.bands = [], {}
         for i, text in enumerate(templates.values()):
-            words = text.encode().lower().split()
-            h = _hashes(words, {})
+            words = [p for w in text.encode().lower().split() if (p := _plain(w))]
+            h, _ = _hashes(words, {})
             if not len(h):
                 raise ValueError(f"template {self.names[i]} has fewer than {SHINGLE} words")
             self.shingles.append({tuple(words[k : k + SHINGLE]) for k in range(len(h))})
@@ -95,15 +103,19 @@ class Index:
         return out
 
     def matches(self, raw: bytes, known: dict[bytes, int]) -> list[tuple[int, int, int]]:
-        """Template, first word and end word of each verified match; overlapping matches of a template are one."""
+        """Template, first word and end word of each verified match; overlapping matches of a template are one.
+
+        Words are counted as they stand, comment markers too.
+        """
         words = raw.lower().split()
-        h = _hashes(words, known)
+        h, places = _hashes(words, known)
         found: dict[int, list[list[int]]] = {}
         for i, a, b in sorted(self.candidates(h)) if len(h) else ():
             wanted = self.shingles[i]
-            at = [k for k in range(a, b) if tuple(words[k : k + SHINGLE]) in wanted]
-            if len({tuple(words[k : k + SHINGLE]) for k in at}) >= CONTAINED * len(wanted):
-                first, end, own = at[0], at[-1] + SHINGLE, found.setdefault(i, [])
+            plain = [_plain(words[p]) for p in places[a : b + SHINGLE - 1].tolist()]
+            met = {k: x for k in range(a, b) if (x := tuple(plain[k - a : k - a + SHINGLE])) in wanted}
+            if len(set(met.values())) >= CONTAINED * len(wanted):
+                first, end, own = int(places[min(met)]), int(places[max(met) + SHINGLE - 1]) + 1, found.setdefault(i, [])
                 if own and first < own[-1][1]:
                     own[-1][1] = max(end, own[-1][1])
                 else:

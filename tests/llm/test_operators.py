@@ -367,6 +367,20 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("before, after", [("# ", ""), ("// ", ""), (" * ", ""), ("/* ", " */"), ("-- ", ""), ("", ""), ("§§ ", ""), ("> #", "")])
+def test_licenses_in_comments(before, after):
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        words = template.split()
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        text = "w1 w2\n" + "\n".join(before + x + after for x in lines) + "\nw3 w4"
+        placed = text.split()
+        places = [k for k, w in enumerate(placed) if re.search("[A-Za-z0-9]", w)]
+        got = [(a, b) for i, a, b in index.matches(text.encode(), {}) if index.names[i] == name]
+        assert got == [(places[2], places[-3] + 1)], name
+    assert index.matches(b"# // * ##", {}) == [] and index.matches(b"w1 # w2 // w3 * w4 ** w5 w6", {}) == []
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality.op10_quality(spark, sf).collect()}
