@@ -52,6 +52,35 @@ def test_topk_equals_brute_force(spark, metric, form):
     assert found(got) == brute(q, x, 4, metric)
 
 
+def ranked_unrounded(q, x, k, metric):
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    s = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1)) if metric == "l2" else -(q @ x.T)
+    if metric == "cosine":
+        s = s / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+    return {(i, int(j), rank + 1) for i in range(len(q)) for rank, j in enumerate(np.argsort(s[i], kind="stable")[:k])}
+
+
+@pytest.mark.parametrize("metric", retrieval.METRICS)
+@pytest.mark.parametrize("form", ["scan", "blocks"])
+def test_ranks_do_not_change_with_the_length_of_all_vectors(spark, metric, form):
+    options = {} if form == "scan" else {"max_queries": 3, "query_block_rows": 10, "index_block_rows": 60}
+    q, x = vectors(20, 21), vectors(300, 22)
+    want = ranked_unrounded(q, x, 5, metric)
+    for scale in (1.0, 1e-4):
+        q2, x2 = (q * scale).astype(np.float32), (x * scale).astype(np.float32)
+        got = found(retrieval.topk(frame(spark, q2, "query_id"), frame(spark, x2, "chunk_key"), 5, metric, **options))
+        assert got == want == ranked_unrounded(q2, x2, 5, metric)
+
+
+@pytest.mark.parametrize("metric", retrieval.METRICS)
+def test_crowded_scores_are_ranked_unrounded(spark, metric):
+    rng = np.random.default_rng(23)
+    q = vectors(5, 24)
+    x = (q[0] + 1e-5 * rng.normal(size=(400, DIM))).astype(np.float32)
+    got = found(retrieval.topk(frame(spark, q, "query_id"), frame(spark, x, "chunk_key"), 5, metric))
+    assert got == ranked_unrounded(q, x, 5, metric)
+
+
 @pytest.mark.parametrize("form", ["scan", "blocks"])
 def test_a_third_of_the_index_and_of_the_questions_are_copies(spark, form):
     q, x = vectors(30, 3, copies=1 / 3), vectors(300, 4, copies=1 / 3)
