@@ -17,6 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its plain name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Narrow rows dealt evenly before costly work on each; never used on texts."""
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docqa.llm.common import by_unit, components, in_blocks, local_roots, spread, table
 from docqa.workspace import settle
@@ -28,19 +30,33 @@ def bucket_keys(vectors: np.ndarray, seed: int = 11) -> np.ndarray:
     return ((cells * mix).sum(axis=2, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _units(column) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the vectors of an Arrow list column, and the vectors scaled to length one as rows filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = np.zeros((len(size), size.max(initial=0)))
+    x[np.arange(x.shape[1]) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore"):
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+    odd = np.nonzero(~np.isfinite(norm[:, 0]) | (norm[:, 0] < 1e-100))[0]
+    if len(odd):  # squares that double precision can't hold
+        x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.linalg.norm(x[odd], axis=1, keepdims=True)
+    return size, x / norm
+
+
 def _hashed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, keys = [np.array(v, dtype=np.float64) for v in batch.column("vec").to_pylist()], [None] * batch.num_rows
-            for dim in {len(v) for v in x}:
-                at = [i for i, v in enumerate(x) if len(v) == dim]
-                own = np.array([x[i] for i in at])
-                for i, k in zip(at, bucket_keys(own / np.linalg.norm(own, axis=1, keepdims=True)).tolist()):
-                    keys[i] = k
-            made = pa.array(keys, pa.list_(pa.int32()))
+            size, x = _units(batch.column(batch.schema.get_field_index("vec")))
+            keys = np.zeros((len(size), TABLES), np.int32)
+            for dim in np.unique(size).tolist():
+                own = size == dim
+                keys[own] = bucket_keys(x[own, :dim])
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * TABLES, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "cells"])
 
-    return rows.mapInArrow(run, "cid long, n long, label long, vec array<float>, cells array<int>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
 
 
 def _compare(least: float):
@@ -49,13 +65,8 @@ def _compare(least: float):
         first = unit.slice(0, 1).to_pylist()[0]
         (_, low, high), t = first["unit"], first["t"]
         cid, n, label, side = (unit.column(c).to_numpy() for c in ("cid", "n", "label", "side"))
-        vecs = unit.column("vec").to_pylist()
-        dim = np.array([len(v) for v in vecs])
-        x = np.zeros((len(vecs), dim.max()))
-        for i, v in enumerate(vecs):
-            x[i, : len(v)] = v
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        cells = np.array(unit.column("cells").to_pylist())
+        dim, x = _units(unit.column("vec"))
+        cells = unit.column("cells").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
         left = np.nonzero(side == low)[0]
         right = left if low == high else np.nonzero(side == high)[0]
         found = []
@@ -83,12 +94,15 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (vec_id, embedding, label).
 
     Equal vectors of a label are one class, so copies are counted, not compared; a bucket of many classes is compared in
-    blocks. Links need equal labels that are not null, and equal lengths. Null, empty and zero vectors, vectors with a null or
+    blocks. Links need equal labels that are not null, and equal lengths. Vectors are compared as they
+    are given, floats or doubles. Null, empty and zero vectors, vectors with a null or
     non-finite component, and null labels link with nothing. Repeated rows are copies; a null vec_id is never a component's
     id unless alone. An empty table gives none. Other columns are not read.
     """
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"), F.col("label").cast("long").alias("label"))
+    kind = vectors.schema["embedding"].dataType
+    wide = "double" if not isinstance(kind, T.ArrayType) or isinstance(kind.elementType, T.DoubleType) else "float"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{wide}>").alias("vec"), F.col("label").cast("long").alias("label"))
     valid = F.coalesce(finite & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
     rows = rows.withColumn("valid", valid)
     classes = rows.filter("valid").groupBy("label", "vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))

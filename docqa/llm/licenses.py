@@ -84,9 +84,31 @@ class Index:
             for b in range(BANDS):
                 bands[b].setdefault(int(_permuted(h, b).min()), []).append(i)
         self.values = {size: [np.array(sorted(b), dtype=np.uint64) for b in bands] for size, bands in self.bands.items()}
+        own = [_hashes(t.encode().lower().split(), {})[0] for t in templates.values()]
+        self.minima = np.unique(np.concatenate([h[[_permuted(h, b).argmin() for b in range(BANDS)]] for h in own]))
+        self.widest = max(self.bands)
 
     def candidates(self, h: np.ndarray) -> set[tuple[int, int, int]]:
-        """Template, first shingle and end shingle of each window that shares a band with it."""
+        """Template, first shingle and end shingle of each window that shares a band with it.
+
+        The permutations are one-to-one, so a window's minimum in a band is a template's only if the window holds the very shingle
+        that is the template's minimum. These shingles, at most ``BANDS`` a template, are looked up once, and the bands are
+        taken only of the windows around them: the bands that meet are the same ones.
+        """
+        place = np.minimum(np.searchsorted(self.minima, h), len(self.minima) - 1)
+        block = np.unique(np.nonzero(self.minima[place] == h)[0] // self.widest)
+        if not len(block):
+            return set()
+        block = np.unique(np.concatenate([block - 1, block, block + 1]))
+        block = block[block >= 0]
+        out = set()
+        for run in np.split(block, np.nonzero(np.diff(block) > 1)[0] + 1):
+            at = int(run[0]) * self.widest
+            part = h[at : (int(run[-1]) + 1) * self.widest]
+            out.update((i, a + at, b + at) for i, a, b in self._met(part)) if len(part) else None
+        return out
+
+    def _met(self, h: np.ndarray) -> set[tuple[int, int, int]]:
         out = set()
         for band in range(BANDS):
             x = _permuted(h, band)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docqa.llm.common import column, fresh
 from docqa.workspace import settle
 
 STEP = 32.0
@@ -36,20 +37,21 @@ def mix(docs: DataFrame, alpha: float = 0.5, seed: int = 7) -> DataFrame:
 
     The rates of up to ``MOST_SOURCES`` sources are broadcast, so texts stay where they are until the global shuffle; more are
     joined by key. A null source is a source; rows of one ``doc_id`` and text get the same count, null, empty and long texts
-    too; an empty table gives none. Columns ``copy_no`` and ``shuffle_key`` of the input are replaced.
+    too; an empty table gives none. All other columns stay; columns ``copy_no`` and ``shuffle_key`` of the input are replaced.
     """
-    sizes = settle(docs.groupBy("source").agg(F.count("*").alias("__n")), "sources")
-    total = sizes.agg(F.sum("__n"), F.sum(F.pow("__n", F.lit(alpha))), F.count("*")).first()
-    rate = F.pow("__n", F.lit(alpha)) / F.lit(total[1] or 1.0) * F.lit(float(total[0] or 0)) / F.col("__n")
-    rates = sizes.select(F.col("source").alias("__source"), rate.alias("__rate"))
+    source, rate_of, n, copy, order = fresh(docs, "rate_source", "rate", "repeats", "copy_made", "order_made")
+    sizes = settle(docs.groupBy("source").agg(F.count("*").alias(n)), "sources")
+    total = sizes.agg(F.sum(n), F.sum(F.pow(n, F.lit(alpha))), F.count("*")).first()
+    rate = F.pow(n, F.lit(alpha)) / F.lit(total[1] or 1.0) * F.lit(float(total[0] or 0)) / F.col(n)
+    rates = sizes.select(F.col("source").alias(source), rate.alias(rate_of))
     rates = F.broadcast(rates) if total[2] <= MOST_SOURCES else rates
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]))
+    joined = docs.join(rates, docs["source"].eqNullSafe(rates[source]))
     key = F.xxhash64("doc_id", "text")
-    copies = joined.withColumn("__c", poisson_count(F.col("__rate"), key, seed)).filter("__c > 0")
-    rows = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c"))))
-    order = F.xxhash64(key, "__copy", F.lit(seed + 1))
-    shuffled = rows.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order")
-    return shuffled.select(*(c for c in docs.columns if c not in ("copy_no", "shuffle_key")), F.col("__copy").alias("copy_no"), F.col("__order").alias("shuffle_key"))
+    copies = joined.withColumn(n, poisson_count(F.col(rate_of), key, seed)).filter(F.col(n) > 0)
+    rows = copies.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    shuffled = rows.withColumn(order, F.xxhash64(key, copy, F.lit(seed + 1))).repartition(order).sortWithinPartitions(order)
+    kept = [column(c) for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
+    return shuffled.select(*kept, F.col(copy).alias("copy_no"), F.col(order).alias("shuffle_key"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docqa.llm.common import table
+from docqa.llm.common import column, fresh, table
 
 SAMPLE = 8_000  # rows of either kind that the model is fitted on; everything else covers all rows
 HIDDEN = 24
@@ -129,29 +130,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | Non
     return net
 
 
-def score(docs: DataFrame, net: Net | None) -> DataFrame:
-    """``docs`` with ``quality_score``, the net's score of every whole text. A null text scores as an empty one; without a
+def score(docs: DataFrame, net: Net | None, name: str = "quality_score") -> DataFrame:
+    """``docs`` with the column ``name``, the net's score of every whole text. A null text scores as an empty one; without a
     net (no positives, or no documents) every score is 0.5. Rows, repeated ones too, and all other columns stay; a
-    column ``quality_score`` of the input is replaced."""
-    docs = docs.drop("quality_score")
-    names = docs.columns
+    column ``name`` of the input is replaced; an empty table gives none."""
+    docs = docs.drop(name)
+    names = [f"c{i}" for i in range(len(docs.columns) + 1)]  # columns go to the task by place, so that any name will do
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features((x.as_py() or "").encode()) for x in batch.column(names.index("text"))]
+            made = [features((x.as_py() or "").encode()) for x in batch.column(text)]
             s = net.score(np.array(made).reshape(-1, WIDTH)) if net else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}quality_score double")
-
-
-def _ddl(df: DataFrame) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+    kinds = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]
+    scored = docs.toDF(*names[:-1]).mapInArrow(run, T.StructType([*kinds, T.StructField(names[-1], T.DoubleType())]))
+    return scored.toDF(*docs.columns, name)
 
 
 def accept(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """Rows of ``docs`` with a score of at least ``cut``."""
-    return score(docs, train(docs, labels)).filter(F.col("quality_score") >= cut).select(*docs.columns)
+    """Rows of ``docs`` with a score of at least ``cut``, with the columns of ``docs`` as they are. Null and empty texts are
+    scored as empty ones; repeated rows share their verdict; without positive labels all rows stay; an empty table gives none."""
+    name = fresh(docs, "score_found")[0]
+    return score(docs, train(docs, labels), name).filter(column(name) >= cut).select(*map(column, docs.columns))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

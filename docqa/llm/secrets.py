@@ -8,18 +8,20 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docqa.llm.common import table
+from docqa.llm.common import column, fresh, table
 
 # The contract's kinds in its order. {n,} equals the plain run with a shorter match dropped.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
-# A key runs to its END line; it never runs over another line of five hyphens. Without END it runs over its header lines and
-# base64 words, and a short last line. Nested repeats are bounded, as Java takes stack for each round.
-PEM = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    r"""(?:[^-]*+(?:-[^-]++){0,200}+-----END [A-Z ]{0,40}PRIVATE KEY-----"""
-    r"""|(?:[ \t\r\n\\"'>#*,|]*+[A-Z][A-Za-z-]{1,30}:\x20[^\r\n]*+){0,8}+(?:[ \t\r\n\\"'>#*,|]*+[A-Za-z0-9+/=]{16,}+){0,1000}+(?:(?<=[A-Za-z0-9+/=]{16})\r?\n[ \t>#*|]{0,8}[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?)"""
-)
+# A private key runs from its BEGIN line to the next END line, unless five hyphens stand between. Without END it runs over header
+# lines and base64 words and a short last line; each step is matched from the end of the one before (\G), so that a key of any
+# length takes neither a bound nor a stack.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+MARK = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----"
+BETWEEN = r"""[ \t\r\n\\"'>#*,|]*+"""
+HEADER = rf"\G{BETWEEN}[A-Z][A-Za-z-]+:\x20[^\r\n]*+"
+WORD = rf"\G{BETWEEN}[A-Za-z0-9+/=]{{16,}}+"
+LAST = r"\A\r?\n[ \t>#*|]*+[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n])"
 MORE = {
     "pem": PEM,
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
@@ -108,21 +110,56 @@ def _spans(text: Column, rank: int, kind: str, pattern: str) -> Column:
     return F.aggregate(parts, start, step, lambda a: a["out"])
 
 
-def scan(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """``docs`` with ``secret_spans``: all spans (start, rank, kind, end; code points, end exclusive) by start, then rule.
+def _key_body(rest: Column) -> Column:
+    """How far a key without END reaches into the text after its BEGIN line."""
+    size = lambda found: F.aggregate(F.transform(found, F.length), F.lit(0), lambda a, n: a + n)
+    heads = size(F.regexp_extract_all(rest, F.lit(HEADER), F.lit(0)))
+
+    def from_words(x: Column) -> Column:
+        body = F.substring(rest, x + 1, F.length(rest))
+        words = size(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
+        last = F.length(F.regexp_extract(F.substring(body, words + 1, F.length(rest)), LAST, 0))
+        return x + F.when(words > 0, words + last).otherwise(0)
+
+    return F.element_at(F.transform(F.array(heads), from_words), 1)
+
+
+def _key_spans(text: Column, rank: int, kind: str) -> Column:
+    """As ``_spans``, for private keys: BEGIN and END lines by place, each BEGIN with the END that follows it."""
+    marks, gaps = F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), F.split(text, MARK, -1)
+    n = F.size(marks)
+    parts = F.arrays_zip(marks.alias("mark"), F.slice(gaps, 1, n).alias("before"), F.slice(gaps, 2, n).alias("rest"), F.concat(F.slice(marks, 2, n), F.array(F.lit(""))).alias("next"))
+    span = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["at"] + F.length(x["before"])
+        after = at + F.length(x["mark"])
+        paired = F.startswith(x["next"], F.lit("-----END")) & ~F.contains(x["rest"], F.lit("-----"))
+        end = after + F.when(paired, F.length(x["rest"]) + F.length(x["next"])).otherwise(_key_body(x["rest"]))
+        one = F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end")))
+        return F.struct(after.alias("at"), F.when(F.startswith(x["mark"], F.lit("-----BEGIN")), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")), step, lambda a: a["out"])
+
+
+def scan(docs: DataFrame, rules: dict[str, str] = RULES, name: str = "secret_spans") -> DataFrame:
+    """``docs`` with the column ``name``: all spans (start, rank, kind, end; code points, end exclusive) by start, then rule.
 
     Every rule is verified on the whole text of each candidate of its trigram query; rules without mandatory trigrams run
-    on all texts. Null and empty texts have no spans; every row stays, repeated ones too; no column but ``text`` is read.
-    A column ``secret_spans`` of the input is replaced.
+    on all texts. Null and empty texts have no spans; every row stays, repeated ones too; no column but ``text`` is read; an
+    empty table gives none. A column ``name`` of the input is replaced, all others stay.
     """
-    found = candidates(docs, rules).select(F.col("text_hash").alias("__hash"), F.col("mask").alias("__mask"))
-    marked = docs.withColumn("__h", F.xxhash64("text")).join(found, F.col("__h") == F.col("__hash"), "left")
+    docs = docs.drop(name)
+    key, own, mask_of = fresh(docs, "text_key", "text_hash", "mask")
+    found = candidates(docs, rules).select(F.col("text_hash").alias(own), F.col("mask").alias(mask_of))
+    marked = docs.withColumn(key, F.xxhash64("text")).join(found, F.col(key) == F.col(own), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    text, mask, parts = F.col("text"), F.coalesce("__mask", F.lit(0)), []
+    text, mask, parts = F.col("text"), F.coalesce(mask_of, F.lit(0)), []
     for rank, (kind, pattern) in enumerate(rules.items()):
         may = mask.bitwiseAND(F.lit(1 << rank)) != 0 if trigram_query(pattern) else F.lit(True)
-        parts.append(F.when(may & text.rlike(pattern), _spans(text, rank, kind, pattern)).otherwise(none))
-    return marked.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("__h", "__hash", "__mask")
+        spans = _key_spans(text, rank, kind) if pattern == PEM else _spans(text, rank, kind, pattern)
+        parts.append(F.when(may & text.rlike(pattern), spans).otherwise(none))
+    return marked.withColumn(name, F.array_sort(F.concat(*parts))).drop(key, own, mask_of)
 
 
 def joined(spans: Column) -> Column:
@@ -130,7 +167,9 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Every span replaced by ``MASK`` (overlapping spans once); ``n_chars``, if there, follows; every row stays."""
+    """Every span replaced by ``MASK`` (overlapping spans once); ``n_chars``, if there, follows. Every row stays, repeated ones
+    too; null and empty texts stay as they are; the columns are those of ``docs``; an empty table gives none."""
+    spans = fresh(docs, "spans_found")[0]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -139,9 +178,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
 
     rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, rest)).otherwise(F.col("text"))
-    out = scan(docs).withColumn("text", clean).drop("secret_spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col("text"))
+    out = scan(docs, name=spans).withColumn("text", clean)
+    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.select(*map(column, docs.columns))
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docqa.llm.common import by_unit, components, in_blocks, local_roots, spread, table
+from docqa.llm.common import by_unit, column, components, fresh, in_blocks, local_roots, spread, table
 from docqa.workspace import settle
 
 MAX_BITS = 4
@@ -42,16 +42,16 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, __fp``: the fingerprint of every whole text as a signed long; a null text has no word."""
+    """``doc_id, __fp, __text``: the fingerprint of every whole text as a signed long, and a hash of the text; a null text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(x.as_py() or b"") for x in batch.column("__raw")]
             fps = pa.array([x - (1 << 64) if x >> 63 else x for x in made], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "__fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, batch.column("__text")], names=["doc_id", "__fp", "__text"])
 
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("__raw"))
-    return raw.mapInArrow(run, "doc_id long, __fp long")
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("__raw"), F.xxhash64("text").alias("__text"))
+    return raw.mapInArrow(run, "doc_id long, __fp long, __text long")
 
 
 def _remainder(x):
@@ -121,6 +121,16 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return by_unit(in_blocks(anchors(fps, bits), "anchor", F.col("__fp")), work, "u long, v long")
 
 
+def _classed(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The written fingerprints of all rows, and each distinct one with its component's root and smallest doc_id."""
+    made = settle(fingerprints(docs), "fingerprints")
+    nodes = settle(made.groupBy("__fp").agg(F.min("doc_id").alias("__first")), "nodes")
+    found = components(near_links(spread(nodes.select("__fp")), bits))
+    known = nodes.join(found, nodes["__fp"] == found["node"], "left").select("__fp", "__first", F.coalesce("root", "__fp").alias("__root"))
+    first = known.groupBy("__root").agg(F.min("__first").alias("component_id"))
+    return made, known.join(first, "__root").select("__fp", "__root", "component_id")
+
+
 def classes(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -128,21 +138,24 @@ def classes(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     words have fingerprint zero; repeated rows keep their rows; a null doc_id stays and never is a component's id unless
     alone; an empty table gives none. Other columns are not read.
     """
-    made = settle(fingerprints(docs), "fingerprints")
-    nodes = settle(made.groupBy("__fp").agg(F.min("doc_id").alias("__first")), "nodes")
-    found = components(near_links(spread(nodes.select("__fp")), bits))
-    known = nodes.join(found, nodes["__fp"] == found["node"], "left").select("__fp", "__first", F.coalesce("root", "__fp").alias("__root"))
-    first = known.groupBy("__root").agg(F.min("__first").alias("component_id"))
-    ids = known.join(first, "__root").select("__fp", "component_id")
+    made, ids = _classed(docs, bits)
     return made.join(ids, "__fp").select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (of repeated rows with that id, one). Null ids stay."""
-    keep = classes(docs, bits).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    left = docs.join(keep, docs["doc_id"] == F.col("__keep"), "left").filter("__keep is not null or doc_id is null")
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return left.withColumn("__own", own).dropDuplicates(["doc_id", "__own"]).drop("__keep", "__own")
+    """One row of each component: that of the smallest doc_id, null ids last, of one id that of the smallest text hash.
+
+    Rows are told apart by doc_id and text, so unlike texts of one doc_id are judged each by itself, and of rows equal in both one
+    stays, whatever else they hold. Null and empty texts are one component; an empty table gives none; all columns stay.
+    """
+    made, ids = _classed(docs, bits)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__text")
+    stay = made.join(ids.select("__fp", "__root"), "__fp").groupBy("__root").agg(F.min(place).alias("x"))
+    key, own, own_text = fresh(docs, "text_key", "stays", "stays_text")
+    stay = stay.select(F.col("x.doc_id").alias(own), F.col("x.__text").alias(own_text))
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    left = rows.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(key) == F.col(own_text)), "left_semi")
+    return left.dropDuplicates(["doc_id", key]).select(*map(column, docs.columns))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

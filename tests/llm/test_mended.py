@@ -1,0 +1,365 @@
+"""Cases of the training-data operators that were found wrong once, each against a brute-force version."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from docqa.llm import embeddings, licenses, mixing, packing, private, quality, rules, secrets, simhash, tokens
+from docqa.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+# --- secrets ---
+
+BODY = "[A-Za-z0-9+/=]"
+
+
+def key_spans(text):
+    """Private keys by a walk over the marks, without bounds."""
+    marks = list(re.finditer(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----", text))
+    out = []
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m.group(1) != "BEGIN":
+            continue
+        rest = text[m.end() : after.start() if after else len(text)]
+        if after and after.group(1) == "END" and "-----" not in rest:
+            out.append((m.start(), after.end()))
+            continue
+        at = 0
+        between = r"""[ \t\r\n\\"'>#*,|]*"""
+        while x := re.compile(rf"{between}[A-Z][A-Za-z-]+: [^\r\n]*").match(rest, at):
+            at = x.end()
+        words = 0
+        while x := re.compile(rf"{between}{BODY}{{16,}}").match(rest, at):
+            at, words = x.end(), words + 1
+        x = re.compile(r"\r?\n[ \t>#*|]*[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n])").match(rest, at)
+        out.append((m.start(), m.end() + (x.end() if words and x else at)))
+    return out
+
+
+def test_keys_of_any_length_leave_no_body(spark):
+    lines = [f"{k:05d}" + "Ab+/" * 14 for k in range(5000)] + ["tail0123456=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    heads = "\n".join(f"Head-Line: value-{k}-with-hyphens" for k in range(50))
+    dashed = "\n".join("a-b-c-d-e-f-g-h" for _ in range(300))
+    texts = []
+    for joint in ("\n", "\r\n", "\n# ", " "):
+        body = joint.join(lines)
+        for head in ("", "\n" + heads + "\n"):
+            texts += [f"before text\n{begin}{head}{joint}{body}{joint}{end}\nafter text", f"before text\n{begin}{head}{joint}{body}\nafter text"]
+    texts += [f"before text\n{begin}\n{dashed}\n{end}\nafter text", f"before text\n{end}\nafter text", f"{begin}{end}", f"{begin}\n-----\n{end}", None, "", begin * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(docs).collect():
+        assert [(x["start"], x["end"]) for x in r.secret_spans if x["kind"] == "pem"] == key_spans(r.text or ""), r.doc_id
+    for r in secrets.redact(docs).collect():
+        if r.doc_id < 17:
+            assert "before text" in r.text and "after text" in r.text and secrets.MASK in r.text
+            assert not re.search("Ab\\+/|value-|a-b-c", r.text), r.doc_id
+            assert "tail0" not in r.text or texts[r.doc_id].count(end) == 0, r.doc_id
+    assert secrets.redact(docs.limit(0)).count() == 0
+
+
+# --- simhash ---
+
+
+def test_unlike_texts_of_one_id_stay_and_copies_without_id_go(spark):
+    one, two = "the first text has words of its own to stand on", "quite another matter is told in these lines here"
+    rows = [(5, one), (5, two), (None, "null words that are the same twice"), (None, "null words that are the same twice"), (None, None), (7, ""), (9, one), (2, two), (2, two), (3, None)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, one), (2, two), (None, rows[2][1]), (3, None)]))
+
+
+# --- licenses ---
+
+
+def test_licenses_equal_containment_at_every_place(spark):
+    index = licenses.Index(licenses.TEMPLATES)
+    plain = lambda t: [p for w in t.encode().lower().split() if (p := licenses._plain(w))]
+    shingles = lambda w: [tuple(w[k : k + licenses.SHINGLE]) for k in range(len(w) - licenses.SHINGLE + 1)]
+    texts = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    rng = np.random.default_rng(8)
+    for i, t in enumerate(licenses.TEMPLATES.values()):
+        words = t.split()
+        for k in range(60):  # words lost or changed, so that containment lies on both sides of the least
+            own = [w for w in words if rng.random() > 0.004 * k]
+            at = [str(x) for x in rng.integers(0, 9, int(rng.integers(0, 300)))]
+            texts.append((10_000 + 100 * i + k, " ".join([*at, *own, *at[:50]])))
+    wanted = found = more = 0
+    sizes = {i: next(size for size, bands in index.bands.items() if any(i in own for own in bands[0].values())) for i in range(len(index.names))}
+    for _, text in texts:
+        got = {i for i, _, _ in index.matches((text or "").encode(), {})}
+        have = shingles(plain(text or ""))
+        for i, want in enumerate(index.shingles):
+            met = [k for k, x in enumerate(have) if x in want]
+            best = lambda reach: max((len({have[k] for k in met if a <= k < a + reach}) for a in met), default=0)
+            sure, ever = best(sizes[i]) >= licenses.CONTAINED * len(want), best(2 * sizes[i]) >= licenses.CONTAINED * len(want)
+            assert ever or i not in got
+            wanted, found, more = wanted + sure, found + (sure and i in got), more + (ever and not sure and i in got)
+    print(f"licenses: recall {found / wanted:.4f} of {wanted}, {more} more over two blocks")
+    assert wanted > 200 and found / wanted >= 0.99
+
+
+# --- private ---
+
+
+def test_lone_signs_give_no_span():
+    assert private.free_spans("x , y", [[(2, 3)]], []) == [] and private.free_spans("a , b", [[(0, 1), (2, 3)]], []) == [(0, 4, "crf", 1)]
+
+
+def test_words_of_a_kind_have_the_features_of_the_kind():
+    rng = np.random.default_rng(9)
+    tagger = private.Tagger(private.trained())
+    for _ in range(3000):
+        word = "".join(rng.choice(list("abcXYZ.,"), rng.integers(1, 27)))
+        at = tagger.ids([word])[0]
+        assert np.allclose(tagger.scores[at], tagger.weights @ np.array(private.shape(word), float)), word
+    for word in [*private.WORDS, *(w.title() + "," for w in private.WORDS), "ssn:", "TEL.", "a" * 24, "A" + "b" * 23]:
+        at = tagger.ids([word])[0]
+        assert np.allclose(tagger.scores[at], tagger.weights @ np.array(private.shape(word), float)), word
+
+
+def test_field_equals_viterbi_over_all_tag_sequences(spark):
+    """The field's spans of short texts against the best of all tag sequences, scored word by word."""
+    from itertools import product
+
+    weights, bias, trans = private.trained()
+    texts = ["call (555) 123-4567 now", "tel 030 1234567", "My SSN: 078-05-1120.", "one , 123-45-6789 , two", "iban DE44 5001 0517 ok", "the cat sat on a mat", "pages 12-15 and 3"]
+    got = {r.doc_id: [(x["start"], x["end"]) for x in r.found if x["kind"] == "crf"] for r in private.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        words = list(re.finditer(r"\S+", text))
+        f = [np.array(private.shape(w.group()), float) for w in words]
+        zero = np.zeros(private.FEATURES)
+        gain = [weights[0] @ (f[k - 1] if k else zero) + weights[1] @ f[k] + weights[2] @ (f[k + 1] if k + 1 < len(f) else zero) + bias[0] for k in range(len(f))]
+        tags = max(product((0, 1), repeat=len(f)), key=lambda s: sum(g * x for g, x in zip(gain, s)) + sum(trans[a, b] for a, b in zip(s, s[1:])))
+        runs = []
+        for k, w in enumerate(words):
+            if tags[k]:
+                (runs[-1].append(w.span()) if k and tags[k - 1] else runs.append([w.span()]))
+        assert got[i] == [(a, b) for a, _, _, b in private.free_spans(text, runs, private.base_spans(text))]
+    assert all("078-05-1120" in texts[2][a:b] for a, b in got[2]) and got[2] and got[1] and got[3] and not got[5]
+
+
+# --- embeddings ---
+
+
+def test_double_vectors_are_compared_as_doubles(spark):
+    rows = [(1, [1e40, 0.0], 1), (2, [2e40, 0.0], 1), (3, [1e-200, 1e-200], 1), (4, [1e200, 1e200], 1), (5, [1e200, -1e200], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+# --- mixing ---
+
+
+def plain_poisson(rate, key, seed):
+    """The same draws as ``mixing.poisson_count``, inverted term by term."""
+    draws = math.ceil(rate / mixing.STEP)
+    mean, total = rate / max(draws, 1), 0
+    for j in range(1, draws + 1):
+        h = 42
+        for x, size in ((key, 8), (seed, 4), (j, 4)):
+            h = xxhash.xxh64_intdigest((x & ((1 << 8 * size) - 1)).to_bytes(size, "little"), h)
+        u, p, cdf, n = (h >> 11) / 2.0**53, math.exp(-mean), math.exp(-mean), 0
+        for k in range(1, int(mean + 12 * math.sqrt(mean) + 25) + 1):
+            if u < cdf:
+                break
+            p *= mean / k
+            cdf += p
+            n += 1
+        total += n
+    return total
+
+
+def test_mixing_counts_equal_a_plain_inversion(spark):
+    rows = [(i, f"text {i % 50}", "abcd"[min(i % 7, 3)]) for i in range(6000)] + [(None, None, None), (1, "text 1", "b"), (1, "text 1", "b"), (3, "", None), (4, "x" * 100_000, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = Counter(r[2] for r in rows)
+    parts = {s: n**0.5 for s, n in size.items()}
+    rate = {s: parts[s] / sum(parts.values()) * len(rows) / size[s] for s in size}
+    keys = {(r.doc_id, r.text): r.k for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    got = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(docs).collect())
+    want = Counter()
+    for r in rows:
+        want[r] += plain_poisson(rate[r[2]], keys[r[:2]], 7)
+    assert got == +want and max(rate.values()) > mixing.STEP
+
+
+# --- quality ---
+
+
+def test_gradient_of_the_risk(monkeypatch):
+    rng = np.random.default_rng(10)
+    pos, unl, prior = rng.normal(1, 1, (40, 5)), rng.normal(0, 1, (60, 5)), 0.4
+    net = quality.Net(pos, unl)
+
+    def risk(w):
+        net.w = w
+        zp, zu = net.z(pos)[0], net.z(unl)[0]
+        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        return prior * np.logaddexp(0, -zp).mean() + rest, rest
+
+    first = [x.copy() for x in net.w]
+    assert risk(first)[1] > 0
+    moved = quality.Net(pos, unl)
+    moved.w = [x.copy() for x in first]
+    moved.fit(pos, unl, prior, steps=1, rate=1e-3, decay=0.0)
+    for k in range(4):
+        step = moved.w[k] - first[k]
+        for at in np.ndindex(first[k].shape):
+            change = []
+            for eps in (1e-5, -1e-5):
+                w = [x.copy() for x in first]
+                w[k][at] += eps
+                change.append(risk(w)[0])
+            slope = (change[0] - change[1]) / 2e-5
+            if abs(slope) > 1e-4:  # the first step of Adam goes against the sign of the gradient
+                assert np.sign(step[at]) == -np.sign(slope) and abs(abs(step[at]) - 1e-3) < 1e-4
+    trained = quality.Net(pos, unl).fit(pos, unl, prior)
+    assert risk(trained.w)[0] < risk(first)[0]
+
+
+def test_quality_of_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (4, "x " * 90_000)], "doc_id long, text string")
+    net = quality.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    got = {r.doc_id: r.quality_score for r in quality.score(docs, net).collect()}
+    assert got[1] == got[2] and all(0 <= x <= 1 for x in got.values())
+    want = [net.score(np.array([quality.features((t or "").encode())]))[0] for _, t in [(2, ""), (None, "a b"), (4, "x " * 90_000)]]
+    assert [got[2], got[None], got[4]] == pytest.approx(want)
+
+
+# --- names ---
+
+HELPERS = ["text_key", "text_hash", "mask", "secret_spans", "spans_found", "__h", "__hash", "__mask", "__c", "__copy", "__rate", "__source", "__order", "rate_source", "rate", "repeats", "copy_made", "order_made",
+           "__keep", "__own", "stays", "stays_text", "__fp", "__text", "quality_score", "score_found", "x", "raw", "unit", "cells", "cid", "n", "vec", "valid", "found", "first_word", "ids", "start", "length", "__group",
+           "__row", "sequence_id", "n_tokens", "n_docs", "__lang", "__q_symbols", "measured", "low", "has", "kind", "a`tick", "dot.ted", "n_words", "kept", "chunk", "links", "word", "key", "part"]
+
+
+def test_every_helper_name_may_be_in_the_input(spark):
+    docs = table(spark, SF, "documents").limit(120)
+    extra = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(HELPERS)])
+    for op in (secrets.redact, simhash.deduplicate, lambda d: quality.accept(d, table(spark, SF, "labels"))):
+        got = op(extra)
+        assert got.columns == extra.columns
+        rows = [r.asDict() for r in got.limit(5).collect()]
+        assert rows and all(r[c] == i for r in rows for i, c in enumerate(HELPERS))
+    scanned = secrets.scan(extra, name="secret_spans")
+    assert set(scanned.columns) == set(extra.columns) and scanned.count() == 120
+    mixed = mixing.mix(extra)
+    assert set(mixed.columns) == {*extra.columns, "copy_no", "shuffle_key"} and all(r[c] == i for r in map(lambda r: r.asDict(), mixed.limit(3).collect()) for i, c in enumerate(HELPERS))
+    for op in (simhash.classes, licenses.scan, rules.judge, private.spans, tokens.lengths, packing.pieces):
+        assert sorted(map(str, op(extra).collect())) == sorted(map(str, op(docs).collect()))
+    vectors = table(spark, SF, "embeddings").limit(60)
+    more = vectors.select("*", *[F.lit(i).alias(c) for i, c in enumerate(HELPERS)])
+    assert sorted(map(str, embeddings.near_duplicates(more).collect())) == sorted(map(str, embeddings.near_duplicates(vectors).collect()))
+
+
+# --- pipeline ---
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Documents and labels with nulls, repeated rows, secrets and copies."""
+    path = str(tmp_path_factory.mktemp("sf"))
+    docs = table(spark, SF, "documents")
+    given = [tuple(r) for r in docs.collect()]
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("Ab+/" * 16 for _ in range(40)) + "\n"
+    words = " ".join(given[0][1].split()[:200])
+    odd = [(None, None, None, None, None), (None, "", None, "s", 0), (20_000, words + "\n" + key + words, "en", "s", 9), (20_001, words, "en", None, 9), (20_001, words, "en", None, 9), (20_001, given[3][1] + " x", "en", "s", 9), *[(30_000 + i, f"{g[1]} token = 'abcdefgh0123' {given[i + 1][1]}", "en", "s", 9) for i, g in enumerate(given[:60])], given[5], given[5]]
+    spark.createDataFrame(given + odd, docs.schema).write.parquet(f"{path}/documents.parquet")
+    table(spark, SF, "labels").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def rows_of(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def test_pipeline_stage_by_stage(spark, folder):
+    import corpus_pipeline as cp
+    from tests.llm.test_operators import plain_fingerprint, reach
+
+    docs = table(spark, folder, "documents")
+    kept = {}
+    for name, stage in cp.STAGES:
+        kept[name] = (docs, cp.settle(stage(spark, docs, folder), "tested"))
+        docs = kept[name][1]
+    before, after = kept["quality classifier"]
+    net = quality.train(before, table(spark, folder, "labels"))
+    want = [tuple(r) for r in before.collect() if net.score(np.array([quality.features((r.text or "").encode())]))[0] >= quality.CUT]
+    assert rows_of(after) == Counter(want) and 0 < len(want) < before.count()
+
+    before, after = kept["simhash near-dedup"]
+    rows = sorted(before.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    fps = [plain_fingerprint(r.text) for r in rows]
+    ids = reach(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    got = after.collect()
+    place = {}
+    for i, r in enumerate(rows):
+        place.setdefault((r.doc_id, r.text), ids[i])
+    assert sorted(place[r.doc_id, r.text] for r in got) == sorted(set(ids))
+    assert all(r.doc_id == rows[place[r.doc_id, r.text]].doc_id for r in got) and not rows_of(after) - rows_of(before)
+
+    before, after = kept["secret scans"]
+    assert after.columns == before.columns
+
+    def masked(t):
+        if t is None:
+            return None
+        spans = [m.span() for k, p in secrets.RULES.items() if k != "pem" for m in re.finditer(p, t) if k != "assign" or len(m.group(2)) >= 8] + key_spans(t)
+        for a, b in reversed(_union(spans)):
+            t = t[:a] + secrets.MASK + t[b:]
+        return t
+
+    want = Counter((r.doc_id, masked(r.text), r.lang, r.source, None if r.text is None else len(masked(r.text))) for r in before.collect())
+    assert rows_of(after) - want == want - rows_of(after) == Counter()
+    assert any(secrets.MASK in (r.text or "") for r in after.collect())
+
+    before, after = kept["mixing sources"]
+    size = Counter(r.source for r in before.collect())
+    total = sum(size.values())
+    parts = sum(n**0.5 for n in size.values())
+    keyed = before.withColumn("k", F.xxhash64("doc_id", "text")).collect()
+    want = Counter()
+    for r in keyed:
+        want[tuple(r)[:-1]] += plain_poisson(size[r.source] ** 0.5 / parts * total / size[r.source], r.k, 7)
+    assert rows_of(after) == +want
+
+    before, after = kept["packing"]
+    coder = packing.Coder(packing.vocabulary())
+    want = Counter()
+    for r in before.collect():
+        ids = np.array([*coder.ids(r.text or ""), packing.END_ID], "<u4")
+        want[r.doc_id, len(ids), zlib.crc32(ids)] += 1
+    got = after.toPandas()
+    n = Counter()
+    for (doc, size), own in got.groupby(["doc_id", "doc_tokens"], dropna=False):
+        n[None if doc != doc else int(doc), int(size)] += own.length.sum() / size
+    assert {k: round(v) for k, v in n.items()} == Counter({(d, s): sum(c for (d2, s2, _), c in want.items() if (d, s) == (d2, s2)) for d, s, _ in want})
+    placed = got.sort_values(["sequence_id", "offset"])
+    ends = placed.groupby("sequence_id").length.cumsum()
+    assert (placed.offset == ends - placed.length).all() and ends.max() <= packing.CAPACITY
+
+
+def _union(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    for name in ("documents", "labels"):
+        table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
