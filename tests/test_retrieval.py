@@ -188,3 +188,37 @@ def test_plan_ranks_with_a_group_limit_and_has_no_cross_join(spark):
     assert few
     plan = retrieval.attach_text(hits, text, few_hits=few)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("form", ["scan", "blocks"])
+def test_proportional_vectors_of_whole_numbers_tie(spark, form):
+    """Word counts: rows that are multiples of one another have one cosine, so the smaller key comes first."""
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 9, (40, DIM)) + np.eye(DIM, dtype=int)[rng.integers(0, DIM, 40)]
+    x = np.concatenate([base * f for f in (7, 3, 1, 5, 11, 13)])[rng.permutation(240)].astype(np.float32)
+    q = rng.integers(0, 6, (50, DIM)).astype(np.float32)
+    q[0] = 0
+    options = {} if form == "scan" else {"max_queries": 3, "query_block_rows": 10, "index_block_rows": 60}
+    got = {}
+    for r in retrieval.topk(frame(spark, q, "query_id"), frame(spark, x, "chunk_key"), 12, **options).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_key
+    from fractions import Fraction
+
+    whole = x.astype(int)
+    for i, row in enumerate(q.astype(int)):
+        value = [Fraction(int(row @ c) ** 2, int(c @ c)) for c in whole]
+        assert [got[i][r] for r in range(1, 13)] == sorted(range(240), key=lambda j: (-value[j], j))[:12]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_neighbouring_ties_by_rounding_go_to_the_smaller_key(spark, metric):
+    """The same products summed in another order differ in the last bits only; they tie."""
+    rng = np.random.default_rng(32)
+    base = rng.normal(size=(60, DIM)).astype(np.float32)
+    turns = [rng.permutation(DIM) for _ in range(4)]
+    q = np.ones((1, DIM), dtype=np.float32) * np.float32(0.3)
+    x = np.concatenate([base[:, t] for t in turns])
+    got = retrieval.topk(frame(spark, q, "query_id"), frame(spark, x, "chunk_key"), 240, metric).orderBy("rank").collect()
+    place = {r.chunk_key: r["rank"] for r in got}
+    wrong = sum(place[i] > place[i + 60 * k] for i in range(60) for k in (1, 2, 3))
+    assert wrong == 0

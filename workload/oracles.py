@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docqa.operators.answering import ERROR_PREFIX
+import re
+
+from docqa.operators.answering import ERROR_PREFIX, PROMPT_TEMPLATE
 from docqa.operators.chat import NO_MESSAGE
 
 NL = "chr(10)"
@@ -21,6 +23,11 @@ def is_blank(x: str) -> str:
     return rf"regexp_full_match({x}, '{B}*')"
 
 
+def without_noise(x: str) -> str:
+    """A value without its last 13 bits, which the order of a sum decides by chance."""
+    return f"({x} * 8193.0 - ({x} * 8193.0 - {x}))"
+
+
 # name -> (needed names, body)
 CTES: dict[str, tuple[list[str], str]] = {
     "sectioned": (
@@ -77,10 +84,22 @@ CTES: dict[str, tuple[list[str], str]] = {
         FROM (SELECT chunk_key, unnest(regexp_extract_all(lower(chunked_text), '\p{L}+')) AS word FROM chunks)
         GROUP BY ALL""",
     ),
-    "chunk_norms": (["chunk_counts"], "SELECT chunk_key, sqrt(sum(n * n)) AS norm FROM chunk_counts GROUP BY chunk_key"),
+    "chunk_norms": (
+        ["chunk_counts"],
+        "SELECT chunk_key, sqrt(sum(n * n)) AS norm, sum(n * n) AS squares FROM chunk_counts GROUP BY chunk_key",
+    ),
 }
 
 
+def _text(x: str) -> str:
+    """A string literal."""
+    return f" || {NL} || ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+
+
+_BEFORE, _BETWEEN, _AFTER = re.split(r"\{context\}|\{input\}", PROMPT_TEMPLATE)
+_PROMPT = f"{_text(_BEFORE)} || coalesce(c.context_text, '') || {_text(_BETWEEN)} || q.question || {_text(_AFTER)}"
+
+
 def _search(name: str, source: str) -> None:
     """Hits of the questions in ``source``, named ``name``."""
     CTES[f"{name}_counts"] = (
@@ -102,9 +121,10 @@ def _search(name: str, source: str) -> None:
         [source, "chunks", f"{name}_dots", f"{name}_norms", "chunk_norms"],
         f"""SELECT query_id, chunk_key, score, rank FROM (
           SELECT query_id, chunk_key, score,
-            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS rank
+            row_number() OVER (PARTITION BY query_id ORDER BY {without_noise('value')} DESC, chunk_key) AS rank
           FROM (
-            SELECT q.query_id, c.chunk_key, coalesce(round(d.dot / (qn.norm * cn.norm), 6), 0.0) AS score
+            SELECT q.query_id, c.chunk_key, coalesce(round(d.dot / (qn.norm * cn.norm), 6), 0.0) AS score,
+              coalesce(d.dot * d.dot / cn.squares, 0.0) AS value
             FROM {source} q CROSS JOIN chunks c
             LEFT JOIN {name}_dots d ON d.query_id = q.query_id AND d.chunk_key = c.chunk_key
             LEFT JOIN {name}_norms qn ON qn.query_id = q.query_id
@@ -138,8 +158,7 @@ def _search(name: str, source: str) -> None:
     )
     CTES[f"{name}_prompts"] = (
         [f"{name}_context", source],
-        f"""SELECT q.query_id, 'あなたは質問に答えるアシスタントです。取得したコンテキストの内容をもとに質問に答えてください。一部のコンテキストが無関係な場合、それを回答に利用しないでください。'
-          || {NL} || {NL} || 'コンテキスト:' || {NL} || coalesce(c.context_text, '') || {NL} || {NL} || '質問: ' || q.question AS prompt
+        f"""SELECT q.query_id, {_PROMPT} AS prompt
         FROM {source} q LEFT JOIN {name}_context c ON c.query_id = q.query_id""",
     )
 
@@ -148,16 +167,19 @@ _search("hits", "questions")
 _search("hits_gaps", "questions_gaps")
 
 
-def _vector_hits(score: str, order: str) -> str:
+def _vector_hits(score: str, value: str, order: str) -> str:
     return f"""SELECT query_id, chunk_key, score, rank FROM (
-      SELECT query_id, chunk_key, score, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, chunk_key) AS rank
-      FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_key, round({score}, 6) + 0.0 AS score
+      SELECT query_id, chunk_key, score,
+        row_number() OVER (PARTITION BY query_id ORDER BY {without_noise('value')} {order}, chunk_key) AS rank
+      FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_key, round({score}, 6) + 0.0 AS score, {value} AS value
         FROM embeddings q CROSS JOIN embeddings c))
     WHERE rank <= 5"""
 
 
 _A, _C = "q.embedding::DOUBLE[]", "c.embedding::DOUBLE[]"
-_COSINE = f"list_dot_product({_A}, {_C}) / (sqrt(list_dot_product({_A}, {_A})) * sqrt(list_dot_product({_C}, {_C})))"
+_DOT, _OWN = f"list_dot_product({_A}, {_C})", f"list_dot_product({_C}, {_C})"
+_COSINE = f"{_DOT} / (sqrt(list_dot_product({_A}, {_A})) * sqrt({_OWN}))"
+_APART = f"list_sum(list_transform(list_zip({_A}, {_C}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
 
 _SIGNS = "list_transform(range(64), lambda j: 1.0 - 2.0 * (('0x' || left(md5(p || ':' || j), 1))::BIGINT % 2))"
 CTES["directions"] = ([], f"SELECT p, {_SIGNS}::DOUBLE[] AS d FROM (SELECT unnest(range(6)) AS p)")
@@ -374,17 +396,17 @@ ORACLES = {
         FROM weighted WHERE w <> 0""",
         "weighted",
     ),
-    "topk_dense": _vector_hits(_COSINE, "DESC"),
-    "topk_blocks": _vector_hits(_COSINE, "DESC"),
-    "topk_dot": _vector_hits(f"list_dot_product({_A}, {_C})", "DESC"),
-    "topk_l2": _vector_hits(
-        f"sqrt(list_sum(list_transform(list_zip({_A}, {_C}), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))", "ASC"
-    ),
+    "topk_dense": _vector_hits(_COSINE, f"{_DOT} * abs({_DOT}) / {_OWN}", "DESC"),
+    "topk_blocks": _vector_hits(_COSINE, f"{_DOT} * abs({_DOT}) / {_OWN}", "DESC"),
+    "topk_dot": _vector_hits(_DOT, _DOT, "DESC"),
+    "topk_l2": _vector_hits(f"sqrt({_APART})", _APART, "ASC"),
     "topk_lsh": query(
-        """SELECT query_id, chunk_key, score, rank FROM (
-          SELECT query_id, chunk_key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS rank
+        f"""SELECT query_id, chunk_key, score, rank FROM (
+          SELECT query_id, chunk_key, score,
+            row_number() OVER (PARTITION BY query_id ORDER BY {without_noise('value')} DESC, chunk_key) AS rank
           FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_key, round(list_dot_product(q.v, c.v)
-              / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) + 0.0 AS score
+              / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) + 0.0 AS score,
+              list_dot_product(q.v, c.v) * abs(list_dot_product(q.v, c.v)) / list_dot_product(c.v, c.v) AS value
             FROM cells q JOIN reaches r ON r.cell = q.cell JOIN cells c ON bit_count(xor(q.cell, c.cell)) <= r.reach))
         WHERE rank <= 5""",
         "cells",
