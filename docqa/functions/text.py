@@ -91,9 +91,24 @@ def has_suffix(c: Column, suffix: str) -> Column:
     return F.lower(c).endswith(suffix.lower())
 
 
+# Scripts without blanks between words; the long vowel marks belong to Katakana.
+HAN, HIRAGANA, KATAKANA = r"\p{IsHan}", r"\p{IsHiragana}", r"\p{IsKatakana}ーｰ"
+UNSPACED = f"[{HAN}{HIRAGANA}{KATAKANA}]"
+_SPACED = rf"[\p{{L}}&&[^{HAN}{HIRAGANA}{KATAKANA}]]"
+# Each match looks ahead for the word that begins here and moves on by one letter of an unspaced script or by a whole other word.
+_PAIRS = "|".join(f"[{s}]{{2}}|(?<![{s}])[{s}](?![{s}])" for s in (HAN, HIRAGANA, KATAKANA))
+MIXED_WORDS = f"(?=({_PAIRS}|{_SPACED}++))(?:{UNSPACED}|{_SPACED}++)"
+
+
 def words(c: Column) -> Column:
-    """Lower-cased runs of letters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
+    """Lower-cased words: runs of letters, cut where the script changes to or from Han, Hiragana or Katakana.
+
+    Runs of these three give their overlapping pairs of letters, a single letter itself, since no blank tells their words apart.
+    """
+    low = F.lower(c)
+    mixed = F.regexp_extract_all(low, F.lit(MIXED_WORDS), F.lit(1))
+    plain = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
+    return F.when(low.rlike(UNSPACED), mixed).otherwise(plain)
 
 
 def distinct_words(c: Column) -> Column:

@@ -14,6 +14,7 @@ from docqa.functions.text import (
     split_sections,
     strip,
     truncate_text,
+    words,
 )
 from docqa.functions.vectors import hash_counts
 
@@ -123,3 +124,32 @@ def test_hash_counts(spark):
         expected[int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 16] += 1
     assert one(spark, lambda c: hash_counts(c, 16), text) == expected
     assert one(spark, lambda c: hash_counts(c, 16), "12 34") == [0.0] * 16
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("通勤手当はいくら", ["通勤", "勤手", "手当", "はい", "いく", "くら"]),
+        ("AI通勤", ["ai", "通勤"]),
+        ("第3条の賞与", ["第", "条", "の", "賞与"]),
+        ("テレワークー and ｶﾅ", ["テレ", "レワ", "ワー", "ーク", "クー", "and", "ｶﾅ"]),
+        ("Plain words, été", ["plain", "words", "été"]),
+        ("人々", ["人々"]),
+        ("", []),
+        ("123 ー", ["ー"]),
+    ],
+)
+def test_words_of_scripts_without_blanks(spark, text, want):
+    row = spark.createDataFrame([(text,)], "t string").select(words(F.col("t")).alias("w")).first()
+    assert row.w == want
+
+
+def test_japanese_questions_that_share_a_word_are_near(spark):
+    from docqa.functions.vectors import dot, hash_counts
+    from docqa.operators.evaluation import words_covered
+
+    a, b, c = "通勤手当はいくらですか。", "今月の通勤手当を教えて", "犬と猫"
+    df = spark.createDataFrame([(a, b, c)], "a string, b string, c string")
+    vector = lambda x: hash_counts(F.col(x), 4096)
+    row = df.select(dot(vector("a"), vector("b")).alias("near"), dot(vector("a"), vector("c")).alias("far"), words_covered(F.col("a"), F.col("b")).alias("share")).first()
+    assert row.near > 0 and row.far == 0 and 0 < row.share < 1

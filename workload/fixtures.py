@@ -127,3 +127,27 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .filter(F.col("answer").isNotNull())
     )
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Japanese rules with their own text after them: ``(chunk_key, chunked_text)``."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text"))
+    own, other = topic(F.col("doc_id")), topic(F.col("doc_id") * 7 + 3)
+    parts = ["第", F.col("doc_id"), "条（", own, "）:\n", own, "は月額", F.col("n_chars"), "円とし、", F.col("source"), "が支給する。", other, "については別に定める。", F.col("text")]
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_key"), text.alias("chunked_text"))
+
+
+def rule_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Japanese question about two topics for each conversation."""
+    asked = conversations(spark, sf_dir).select("conv_id").distinct()
+    conv = F.col("conv_id")
+    parts = [topic(conv), "はいくらですか。", conv % 7, "条の", topic(conv * 5 + 1), "も教えてください。"]
+    question = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return asked.select(conv.alias("query_id"), question.alias("question"))
+
+
+def topic(n):
+    from workload.oracles import TOPICS
+
+    return F.element_at(F.array(*map(F.lit, TOPICS)), (n % len(TOPICS) + 1).cast("int"))

@@ -15,8 +15,19 @@ def strip(x: str) -> str:
     return rf"regexp_replace({x}, '\A{B}+|{B}+\z', '', 'g')"
 
 
+_SCRIPTS = [r"\p{Han}", r"\p{Hiragana}", r"\p{Katakana}ーｰ"]
+_RUNS = "|".join([*(f"[{s}]+" for s in _SCRIPTS), r"[^\P{L}%s]+" % "".join(_SCRIPTS)])
+
+
+def all_words(x: str) -> str:
+    """Words of a text: pairs of letters inside runs of Han, Hiragana or Katakana, other runs of letters as they are."""
+    unspaced = f"regexp_full_match(r, '[{''.join(_SCRIPTS)}]{{2,}}')"
+    pairs = "list_transform(range(len(r) - 1), lambda i: substr(r, i + 1, 2))"
+    return f"flatten(list_transform(regexp_extract_all(lower({x}), '{_RUNS}'), lambda r: CASE WHEN {unspaced} THEN {pairs} ELSE [r] END))"
+
+
 def words(x: str) -> str:
-    return rf"list_distinct(regexp_extract_all(lower({x}), '\p{{L}}+'))"
+    return f"list_distinct({all_words(x)})"
 
 
 def is_blank(x: str) -> str:
@@ -80,8 +91,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "chunk_counts": (
         ["chunks"],
-        r"""SELECT chunk_key, ('0x' || left(md5(word), 6))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS n
-        FROM (SELECT chunk_key, unnest(regexp_extract_all(lower(chunked_text), '\p{L}+')) AS word FROM chunks)
+        f"""SELECT chunk_key, ('0x' || left(md5(word), 6))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS n
+        FROM (SELECT chunk_key, unnest({all_words('chunked_text')}) AS word FROM chunks)
         GROUP BY ALL""",
     ),
     "chunk_norms": (
@@ -100,12 +111,12 @@ _BEFORE, _BETWEEN, _AFTER = re.split(r"\{context\}|\{input\}", PROMPT_TEMPLATE)
 _PROMPT = f"{_text(_BEFORE)} || coalesce(c.context_text, '') || {_text(_BETWEEN)} || q.question || {_text(_AFTER)}"
 
 
-def _search(name: str, source: str) -> None:
-    """Hits of the questions in ``source``, named ``name``."""
+def _search(name: str, source: str, chunks: str = "chunks", counts: str = "chunk_counts", norms: str = "chunk_norms") -> None:
+    """Hits of the questions in ``source`` among ``chunks``, named ``name``."""
     CTES[f"{name}_counts"] = (
         [source],
-        rf"""SELECT query_id, ('0x' || left(md5(word), 6))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS n
-        FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '\p{{L}}+')) AS word FROM {source})
+        f"""SELECT query_id, ('0x' || left(md5(word), 6))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS n
+        FROM (SELECT query_id, unnest({all_words('question')}) AS word FROM {source})
         GROUP BY ALL""",
     )
     CTES[f"{name}_norms"] = (
@@ -113,27 +124,27 @@ def _search(name: str, source: str) -> None:
         f"SELECT query_id, sqrt(sum(n * n)) AS norm FROM {name}_counts GROUP BY query_id",
     )
     CTES[f"{name}_dots"] = (
-        [f"{name}_counts", "chunk_counts"],
+        [f"{name}_counts", counts],
         f"""SELECT q.query_id, c.chunk_key, sum(q.n * c.n) AS dot
-        FROM {name}_counts q JOIN chunk_counts c ON q.bucket = c.bucket GROUP BY ALL""",
+        FROM {name}_counts q JOIN {counts} c ON q.bucket = c.bucket GROUP BY ALL""",
     )
     CTES[name] = (
-        [source, "chunks", f"{name}_dots", f"{name}_norms", "chunk_norms"],
+        [source, chunks, f"{name}_dots", f"{name}_norms", norms],
         f"""SELECT query_id, chunk_key, score, rank FROM (
           SELECT query_id, chunk_key, score,
             row_number() OVER (PARTITION BY query_id ORDER BY {without_noise('value')} DESC, chunk_key) AS rank
           FROM (
             SELECT q.query_id, c.chunk_key, coalesce(round(d.dot / (qn.norm * cn.norm), 6), 0.0) AS score,
               coalesce(d.dot * d.dot / cn.squares, 0.0) AS value
-            FROM {source} q CROSS JOIN chunks c
+            FROM {source} q CROSS JOIN {chunks} c
             LEFT JOIN {name}_dots d ON d.query_id = q.query_id AND d.chunk_key = c.chunk_key
             LEFT JOIN {name}_norms qn ON qn.query_id = q.query_id
-            LEFT JOIN chunk_norms cn ON cn.chunk_key = c.chunk_key))
+            LEFT JOIN {norms} cn ON cn.chunk_key = c.chunk_key))
         WHERE rank <= 5""",
     )
     CTES[f"{name}_text"] = (
-        [name, "chunks"],
-        f"SELECT h.*, c.chunked_text FROM {name} h JOIN chunks c ON c.chunk_key = h.chunk_key",
+        [name, chunks],
+        f"SELECT h.*, c.chunked_text FROM {name} h JOIN {chunks} c ON c.chunk_key = h.chunk_key",
     )
     CTES[f"{name}_context"] = (
         [f"{name}_text"],
@@ -166,6 +177,31 @@ def _search(name: str, source: str) -> None:
 _search("hits", "questions")
 _search("hits_gaps", "questions_gaps")
 
+# Rules and questions in Japanese.
+TOPICS = ("通勤手当", "年次有給休暇", "出張旅費", "住宅手当", "時間外勤務", "育児休業", "退職金", "健康診断", "カタカナ表記", "ボーナス", "服務規律", "テレワーク")
+_TOPIC = f"[{', '.join(repr(t) for t in TOPICS)}][({{}}) % {len(TOPICS)} + 1]"
+CTES["rules"] = (
+    [],
+    f"""SELECT doc_id || ':0' AS chunk_key, '第' || doc_id || '条（' || {_TOPIC.format('doc_id')} || '）:' || {NL} || {_TOPIC.format('doc_id')}
+      || 'は月額' || n_chars || '円とし、' || source || 'が支給する。' || {_TOPIC.format('doc_id * 7 + 3')} || 'については別に定める。' || text AS chunked_text
+    FROM documents""",
+)
+CTES["rule_questions"] = (
+    [],
+    f"""SELECT conv_id AS query_id, {_TOPIC.format('conv_id')} || 'はいくらですか。' || (conv_id % 7) || '条の' || {_TOPIC.format('conv_id * 5 + 1')} || 'も教えてください。' AS question
+    FROM conversations GROUP BY conv_id""",
+)
+CTES["rule_counts"] = (
+    ["rules"],
+    f"""SELECT chunk_key, ('0x' || left(md5(word), 6))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS n
+    FROM (SELECT chunk_key, unnest({all_words('chunked_text')}) AS word FROM rules) GROUP BY ALL""",
+)
+CTES["rule_norms"] = (
+    ["rule_counts"],
+    "SELECT chunk_key, sqrt(sum(n * n)) AS norm, sum(n * n) AS squares FROM rule_counts GROUP BY chunk_key",
+)
+_search("rule_hits", "rule_questions", "rules", "rule_counts", "rule_norms")
+
 
 def _vector_hits(score: str, value: str, order: str) -> str:
     return f"""SELECT query_id, chunk_key, score, rank FROM (
@@ -295,8 +331,8 @@ pieces(
 
 CTES["doc_buckets"] = (
     [],
-    r"""SELECT doc_id, ('0x' || left(md5(word), 6))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS value
-    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY ALL""",
+    f"""SELECT doc_id, ('0x' || left(md5(word), 6))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS value
+    FROM (SELECT doc_id, unnest({all_words('text')}) AS word FROM documents) GROUP BY ALL""",
 )
 CTES["bucket_weights"] = (
     ["doc_buckets"],
@@ -387,6 +423,18 @@ ORACLES = {
         "SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS short FROM conversations"
     ),
     "hash_embed": query("SELECT * FROM doc_buckets", "doc_buckets"),
+    "japanese_embed": query("SELECT chunk_key, bucket, n AS value FROM rule_counts", "rule_counts"),
+    "japanese_answers": query(
+        f"""SELECT query_id, question, best_chunk, best_score, answer, {covered('question', 'answer')} AS relevance,
+          {covered('answer', 'context_text')} AS grounding_share
+        FROM (SELECT q.query_id, q.question, c.best_chunk, c.best_score, coalesce(a.answer, '') AS answer, c.context_text
+          FROM rule_questions q JOIN rule_hits_context c ON c.query_id = q.query_id
+            LEFT JOIN rule_hits_answers a ON a.query_id = q.query_id)""",
+        "rule_questions",
+        "rule_hits_context",
+        "rule_hits_answers",
+    ),
+    "topk_certified": _vector_hits(_COSINE, f"{_DOT} * abs({_DOT}) / {_OWN}", "DESC"),
     "embed_udf": query(
         """SELECT doc_id, code - 97 AS bucket, count(*)::DOUBLE AS value
         FROM (SELECT doc_id, ascii(unnest(regexp_extract_all(text, '[a-z]')))::BIGINT AS code FROM documents) GROUP BY ALL"""
@@ -556,7 +604,7 @@ ORACLES = {
     ),
     "chat_stream": query("SELECT conv_id, message_id, pos, content FROM chat_pieces", "chat_pieces"),
     "index_stream": query(
-        rf"""SELECT chunk_key, chunked_text, len(regexp_extract_all(lower(chunked_text), '\p{{L}}+'))::DOUBLE AS words FROM (
+        rf"""SELECT chunk_key, chunked_text, len({all_words('chunked_text')})::DOUBLE AS words FROM (
           SELECT doc_id || ':' || pos AS chunk_key, chunked_text FROM (
             SELECT doc_id, unnest(s) AS chunked_text, unnest(range(len(s))) AS pos FROM (
               SELECT doc_id, list_filter(list_transform(string_split_regex({strip(f"replace(text, {NL}, {NL} || ' ' || {NL})")},

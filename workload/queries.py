@@ -15,6 +15,7 @@ from docqa.functions.text import (
 )
 from docqa.functions.vectors import as_float_array
 from docqa.operators import answering, chat, chunking, evaluation, retrieval, runlog
+from docqa.operators.cells import topk_certified as topk_cells
 from docqa.operators.changes import change_feed as feed_between
 from docqa.operators.embedding import BatchEncoder, embed, tfidf_embed as tfidf
 from docqa.plans.answer import answer, answer_conversations, retrieve
@@ -22,7 +23,7 @@ from docqa.plans.evaluate import score_all
 from docqa.plans.index import chunk_table, index_documents, synced_index
 from docqa.sources import reading, tables
 from docqa.streaming import jobs
-from docqa.workspace import new_folder
+from docqa.workspace import new_folder, settle
 from workload import fixtures as fx
 
 K = fx.K
@@ -133,6 +134,11 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     return _nonzero(embed(docs, "text", fx.ENCODER), "doc_id")
 
 
+def japanese_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """Japanese rules with Latin text after them, as hashed words."""
+    return _nonzero(embed(fx.rules(spark, sf), "chunked_text", fx.ENCODER), "chunk_key")
+
+
 def _letter_profile():
     """A stand-in model: counts of the letters a-z."""
     import numpy as np
@@ -187,6 +193,12 @@ def topk_blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def topk_certified(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells probed in order of distance until each question's k best are proved."""
+    asked, rows = _vectors(spark, sf)
+    return topk_cells(asked, rows, K)
+
+
 def topk_lsh(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate search in an index that is laid out by cells."""
     asked, rows = _vectors(spark, sf)
@@ -251,6 +263,18 @@ def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def japanese_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Japanese questions answered from Japanese rules, with the relevance and the grounding of the answers."""
+    chunks = settle(fx.rules(spark, sf), "rules")
+    index = embed(chunks, "chunked_text", fx.ENCODER)
+    rows = answer(fx.rule_questions(spark, sf), index, chunks, fx.ENCODER, K).withColumn("context_text", answering.context_text(F.col("context")))
+    scored = evaluation.score_grounding(evaluation.score_relevance(rows, "question"))
+    return scored.select(
+        "query_id", "question", F.col("context")[0]["chunk_key"].alias("best_chunk"), F.col("context")[0]["score"].alias("best_score"),
+        "answer", F.col("`relevance_evaluator/value`").alias("relevance"), "grounding_share",
+    )
+
+
 def _last_line_model():
     """A stand-in model: answers with the last line of the prompt."""
     return lambda prompts: [p.rsplit("\n", 1)[-1] for p in prompts]
@@ -598,12 +622,14 @@ QUERIES = {
     "cast_embedding": cast_embedding,
     "truncate_answer": truncate_answer,
     "hash_embed": hash_embed,
+    "japanese_embed": japanese_embed,
     "embed_udf": embed_udf,
     "tfidf_embed": tfidf_embed,
     "topk_dense": topk_dense,
     "topk_dot": topk_dot,
     "topk_l2": topk_l2,
     "topk_blocks": topk_blocks,
+    "topk_certified": topk_certified,
     "topk_lsh": topk_lsh,
     "topk_sparse": topk_sparse,
     "retrieve_with_text": retrieve_with_text,
@@ -612,6 +638,7 @@ QUERIES = {
     "render_prompt": render_prompt,
     "extractive_answer": extractive_answer,
     "answer_questions": answer_questions,
+    "japanese_answers": japanese_answers,
     "generate_hook": generate_hook,
     "guarded_predict": guarded_predict,
     "last_user_message": last_user_message,
