@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docqa.functions.text import distinct_words, first_truthy, truncate_text
 from docqa.operators.answering import fill_template, generate
+from docqa.workspace import settle
 
 # Text for an absent value, report answer length, and grounding bands.
 ABSENT = "N/A"
@@ -114,10 +115,15 @@ def metrics(df: DataFrame, columns: dict[str, str] = METRIC_COLUMNS) -> DataFram
 
 
 def metrics_by_tag(df: DataFrame, tags: Sequence[str], columns: dict[str, str] = METRIC_COLUMNS) -> DataFrame:
-    """Metrics for each value of each tag and over all examples; null stands for "all" in a tag column."""
+    """Metrics for each value of each tag and over all examples.
+
+    ``tag`` names the tag of a row's group, null for all examples; so an example without the tag (null in the tag's own column)
+    is told from the rows that don't look at it.
+    """
     tagged = df.select(*[F.col("tags")[t].alias(t) for t in tags], *[F.col(f"`{c}`") for c in columns.values()])
     sets = [[F.col(t)] for t in tags] + [[]]
-    return tagged.groupingSets(sets, *tags).agg(F.count("*").cast("bigint").alias("examples"), *_means(columns))
+    of = F.coalesce(*[F.when(F.grouping(t) == 0, F.lit(t)) for t in tags]).alias("tag")
+    return tagged.groupingSets(sets, *tags).agg(of, F.count("*").cast("bigint").alias("examples"), *_means(columns))
 
 
 def _key(c: Column, dtype: T.DataType, name: str) -> tuple[Column, T.DataType] | None:
@@ -192,29 +198,27 @@ def score_text(df: DataFrame, word: str) -> Column:
 
 
 def number_rows(df: DataFrame, order: str, number: str = "number", pieces: int | None = None) -> DataFrame:
-    """Number rows from 1 in the order of a unique number or date column, without one global window.
+    """Number rows from 1 in the order of any sortable column (nulls first, ties by a hash of the row), without a global window.
 
-    Quantiles cut the order into pieces, one per shuffle partition unless given; rows are numbered inside their piece, and the row counts of the
-    earlier pieces (at most ``pieces`` values, held by a scalar subquery) are added.
+    The input is written once, then dealt into ranges of the column and sorted inside them; a row's place in its range is written
+    with it, and the row counts of the earlier ranges (one value a range, broadcast) are added. There are ``pieces`` ranges, or as
+    many as Spark's shuffle settings make.
     """
-    pieces = max(2, pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(
-        F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(100 * pieces))
-    ).scalar()
-    placed = (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_piece", F.size(F.filter("_cuts", lambda c: c <= F.col(order))))
-        .drop("_cuts")
-    )
-    sizes = (
-        placed.groupBy("_piece").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("_piece", "n"))).scalar()
-    )
-    before = F.aggregate(
-        F.filter("_sizes", lambda s: s["_piece"] < F.col("_piece")), F.lit(0).cast("bigint"), lambda acc, s: acc + s["n"]
-    )
-    inside = F.row_number().over(Window.partitionBy("_piece").orderBy(order))
-    numbered = placed.withColumn("_sizes", sizes).withColumn(number, (before + inside).cast("bigint"))
-    return numbered.drop("_piece", "_sizes")
+    kept = settle(df, "unnumbered")
+    tie, place, range_no, before = (f"_{number}_{x}" for x in ("tie", "place", "range", "before"))
+    by = [F.col(f"`{order}`"), F.col(tie)]
+    dealt = kept.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).repartitionByRange(*([pieces] if pieces else []), *by).sortWithinPartitions(*by)
+    placed = settle(dealt.drop(tie).withColumn(place, F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn(range_no, F.shiftright(place, 33))
+    sizes = placed.groupBy(range_no).agg(F.count("*").alias("n")).orderBy(range_no).collect()  # one row a range
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r[0], at))
+        at += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, f"{range_no} bigint, {before} bigint"))
+    inside = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.join(offsets, range_no).withColumn(number, F.col(before) + inside + 1)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], number)
 
 
 def report(df: DataFrame, key: str) -> DataFrame:

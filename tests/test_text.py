@@ -153,3 +153,42 @@ def test_japanese_questions_that_share_a_word_are_near(spark):
     vector = lambda x: hash_counts(F.col(x), 4096)
     row = df.select(dot(vector("a"), vector("b")).alias("near"), dot(vector("a"), vector("c")).alias("far"), words_covered(F.col("a"), F.col("b")).alias("share")).first()
     assert row.near > 0 and row.far == 0 and 0 < row.share < 1
+
+
+def plain_pieces(answer):
+    """The rule word for word: parts are added until the held text may be sent."""
+    import re
+
+    blank = lambda x: not re.search(r"[^\s\x1c-\x1f]", x)
+    held, out = "", []
+    for part in re.findall("[^。！？\n]+|[。！？\n]", answer):
+        held += part
+        if (len(held) > 10 or part in "。！？\n") and not blank(held):
+            out.append(held)
+            held = ""
+    return out + ([held] if not blank(held) else [])
+
+
+def test_stream_pieces_equal_the_rule_word_for_word(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "bc", " ", "\n", "。", "！", "？", "　", "0123456789", "\x1c", "😀", "é"]) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", stream_pieces(F.col("t")).alias("p")).collect()
+    for r in rows:
+        assert r.p == plain_pieces(texts[r.i]), repr(texts[r.i])
+
+
+def test_long_answers_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        for part in ("短い文。", "a" * 40 + "。", " \n"):
+            text = part * (n // len(part))
+            start = time.perf_counter()
+            row = spark.createDataFrame([(text,)], "t string").select(F.size(stream_pieces(F.col("t"))).alias("n")).first()
+            yield time.perf_counter() - start, row.n
+
+    list(took(1000))
+    small, large = list(took(20_000)), list(took(2_000_000))
+    assert all(b[0] < 100 * max(a[0], 0.05) for a, b in zip(small, large)) and large[0][1] == 500_000 and large[2][1] == 0

@@ -281,6 +281,16 @@ CTES["metric_rows"] = (
 )
 
 
+CTES["engine_scores"] = (
+    ["examples", "hits_answers", "hits_context"],
+    f"""SELECT *, {band('grounding_share')} AS grounding FROM (
+      SELECT *, len(list_filter(facts, lambda f: contains(answer, f)))::DOUBLE / len(facts) AS accuracy_share,
+        {covered('question', 'answer')} AS relevance, {covered('answer', 'context_text')} AS grounding_share
+      FROM (SELECT e.*, coalesce(a.answer, '') AS answer, coalesce(c.context_text, '') AS context_text FROM examples e
+        LEFT JOIN hits_answers a ON a.query_id = e.conv_id LEFT JOIN hits_context c ON c.query_id = e.conv_id))""",
+)
+
+
 def pieces(name: str, rows: str, needs: list[str]) -> None:
     """Stream pieces of ``rows(conv_id, message_id, question, answer)``, by taking the runs one after the other."""
     CTES[f"{name}_rows"] = (needs, rows)
@@ -523,6 +533,13 @@ ORACLES = {
         FROM scores GROUP BY GROUPING SETS ((category), (difficulty), ())""",
         "scores",
     ),
+    "evaluate_answers": query(
+        """SELECT conv_id, answer, accuracy_share, relevance, grounding_share, grounding, logged FROM engine_scores CROSS JOIN (
+          SELECT 'accuracy_evaluator/mean=' || round(avg(CASE WHEN accuracy_share = 1 THEN 1 ELSE 0 END), 6)::DOUBLE
+            || ',accuracy_share/mean=' || round(avg(accuracy_share), 6)::DOUBLE || ',grounding_share/mean=' || round(avg(grounding_share), 6)::DOUBLE
+            || ',relevance_evaluator/mean=' || round(avg(relevance), 6)::DOUBLE AS logged FROM engine_scores)""",
+        "engine_scores",
+    ),
     "extract_question": query("SELECT layout, conv_id, turn, question FROM layouts", "layouts"),
     "extract_answer": query(
         "SELECT layout, conv_id, turn, CASE WHEN layout = 'dict' AND role = 'answer' THEN text ELSE answer END AS answer FROM layouts",

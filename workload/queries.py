@@ -19,7 +19,7 @@ from docqa.operators.cells import topk_certified as topk_cells
 from docqa.operators.changes import change_feed as feed_between
 from docqa.operators.embedding import BatchEncoder, embed, tfidf_embed as tfidf
 from docqa.plans.answer import answer, answer_conversations, retrieve
-from docqa.plans.evaluate import score_all
+from docqa.plans.evaluate import evaluate_engine, score_all
 from docqa.plans.index import chunk_table, index_documents, synced_index
 from docqa.sources import reading, tables
 from docqa.streaming import jobs
@@ -393,6 +393,18 @@ def metrics_by_tag(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def evaluate_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's own answers to the examples: answered, scored, saved and logged."""
+    chunks = settle(fx.chunks(spark, sf), "chunks")
+    index = embed(chunks, "chunked_text", fx.ENCODER)
+    folders = [new_folder(spark, name) for name in ("engine_results", "engine_runs")]
+    saved = evaluate_engine(fx.examples(spark, sf), "conv_id", index, chunks, fx.ENCODER, "engine", "docqa_engine_results", *folders, k=K)
+    scores = saved.select("conv_id", "answer", "accuracy_share", F.col("`relevance_evaluator/value`").alias("relevance"), "grounding_share", F.col("`grounding_evaluator/value`").alias("grounding"))
+    means = runlog.read_log(spark, folders[1]).filter("key like '%/mean'").select("key", F.round(F.col("value").cast("double"), 6).alias("mean"))
+    logged = means.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", "mean"))), ",").alias("logged"))
+    return scores.join(F.broadcast(logged), F.lit(True))
+
+
 def _layouts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Messages as result rows of each layout."""
     m = fx.conversations(spark, sf)
@@ -651,6 +663,7 @@ QUERIES = {
     "score_grounding": score_grounding,
     "eval_metrics": eval_metrics,
     "metrics_by_tag": metrics_by_tag,
+    "evaluate_answers": evaluate_answers,
     "extract_question": extract_question,
     "extract_answer": extract_answer,
     "score_columns": score_columns,
