@@ -67,6 +67,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sectioned documents cut into pages of 40 lines each, so that sections and blank lines fall on page ends."""
+    lines = sectioned(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.groupBy("doc_id", F.floor(F.col("n") / 40).alias("page_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text")
+    )
+
+
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the documents: French ones arrive, Spanish ones go, one source is edited."""
     docs = table(spark, sf_dir, "documents")

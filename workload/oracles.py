@@ -396,6 +396,15 @@ def query(final: str, *needs: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in ordered) + "\n" + final
 
 
+def _streamed(documents: str) -> str:
+    """Chunks of the streamed documents and the words of their vectors."""
+    return rf"""SELECT chunk_key, chunked_text, len({all_words('chunked_text')})::DOUBLE AS words FROM (
+      SELECT doc_id || ':' || pos AS chunk_key, chunked_text FROM (
+        SELECT doc_id, unnest(s) AS chunked_text, unnest(range(len(s))) AS pos FROM (
+          SELECT doc_id, list_filter(list_transform(string_split_regex({strip(f"replace(text, {NL}, {NL} || ' ' || {NL})")},
+            '\n{B}*\n+'), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM {documents})))"""
+
+
 ORACLES = {
     "file_select": query("SELECT page_id, url FROM pages WHERE lower(url) LIKE '%.html'"),
     "path_validate": query("SELECT page_id, lower(url) LIKE '%.html' AS is_valid FROM pages"),
@@ -421,6 +430,7 @@ ORACLES = {
     "section_title": query("SELECT doc_id, pos, title FROM titled", "titled"),
     "section_content": query("SELECT doc_id, pos, content FROM parts", "parts"),
     "chunk_documents": query("SELECT chunk_key, doc_id, chunk_id, chunked_text, file_name FROM chunks", "chunks"),
+    "chunk_pages": query("SELECT chunk_key, doc_id, chunk_id, chunked_text FROM chunks", "chunks"),
     "chunk_count": query(
         """SELECT d.doc_id, count(c.chunk_id) AS chunks FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id
         GROUP BY d.doc_id""",
@@ -620,11 +630,6 @@ ORACLES = {
         "scores",
     ),
     "chat_stream": query("SELECT conv_id, message_id, pos, content FROM chat_pieces", "chat_pieces"),
-    "index_stream": query(
-        rf"""SELECT chunk_key, chunked_text, len({all_words('chunked_text')})::DOUBLE AS words FROM (
-          SELECT doc_id || ':' || pos AS chunk_key, chunked_text FROM (
-            SELECT doc_id, unnest(s) AS chunked_text, unnest(range(len(s))) AS pos FROM (
-              SELECT doc_id, list_filter(list_transform(string_split_regex({strip(f"replace(text, {NL}, {NL} || ' ' || {NL})")},
-                '\n{B}*\n+'), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM documents)))"""
-    ),
+    "index_stream": _streamed("documents"),
+    "reindex_stream": query(_streamed("new_docs"), "new_docs"),
 }

@@ -20,7 +20,7 @@ from docqa.operators.changes import change_feed as feed_between
 from docqa.operators.embedding import BatchEncoder, embed, tfidf_embed as tfidf
 from docqa.plans.answer import answer, answer_conversations, retrieve
 from docqa.plans.evaluate import evaluate_engine, score_all
-from docqa.plans.index import chunk_table, index_documents, synced_index
+from docqa.plans.index import chunk_table, empty_index, index_documents, synced_index
 from docqa.sources import reading, tables
 from docqa.streaming import jobs
 from docqa.workspace import new_folder, settle
@@ -618,6 +618,29 @@ def index_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks straight from pages, whose sections may run over page ends."""
+    return chunking.chunk_pages(fx.section_pages(spark, sf))
+
+
+def reindex_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents streamed into an empty searchable index, then edits, arrivals and removals; each chunk with the words of its vector."""
+    old, new = fx.versions(spark, sf)
+    out, path, inbox, checkpoint = (new_folder(spark, name) for name in ("documents", "index", "inbox", "checkpoint"))
+    empty_index(spark, path, fx.ENCODER)
+    text = F.replace("text", F.lit("\n"), F.lit("\n \n")).alias("text")
+    first = old.select("doc_id", text, F.lit(1).alias("version"), F.lit(False).alias("deleted"))
+    changes = feed_between(old, new, "doc_id").filter(F.col("_change_type") != "update_preimage")
+    second = changes.select("doc_id", text, F.lit(2).alias("version"), (F.col("_change_type") == "delete").alias("deleted"))
+    for rows in (first, second):
+        rows.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        jobs.reindex_stream(stream, out, path, checkpoint, fx.ENCODER, version="version", deleted="deleted").awaitTermination()
+    chunks = jobs.indexed_chunks(spark, out).select("chunk_key", "chunked_text")
+    index = synced_index(spark, path).select("chunk_key", F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x).alias("words"))
+    return index.join(chunks, "chunk_key")
+
+
 QUERIES = {
     "file_select": file_select,
     "path_validate": path_validate,
@@ -630,6 +653,7 @@ QUERIES = {
     "section_title": section_titles,
     "section_content": section_contents,
     "chunk_documents": chunk_documents,
+    "chunk_pages": chunk_pages,
     "chunk_count": chunk_count,
     "cast_embedding": cast_embedding,
     "truncate_answer": truncate_answer,
@@ -683,4 +707,5 @@ QUERIES = {
     "run_log": run_log,
     "chat_stream": chat_stream,
     "index_stream": index_stream,
+    "reindex_stream": reindex_stream,
 }
