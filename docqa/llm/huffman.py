@@ -12,6 +12,7 @@ sums of the lanes' bits say. Lanes are decoded side by side: one table look-up g
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docqa.llm.common import table
-from docqa.llm.units import Units, portions
+from docqa.llm.units import Units, byte_letters, portions, ragged
 from docqa.workspace import new_folder, settle
 
 MAGIC = b"IDSHUFF1"
@@ -54,6 +55,62 @@ def vocabulary_size(path: str, end_id: int) -> int:
     return max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
 
 
+class Words:
+    """Ids of words without blanks, as ``tokenizers`` gives them for the vocabulary file.
+
+    Words of ASCII and Latin-1 letters are cut as the file's pattern cuts them and merged by the same merges, given as ranks to
+    ``tiktoken``, which takes a fifth of the time: a piece ends in a mark whose join with the last byte comes before all merges, and
+    since the merges were learnt in their order, an entry is only ever met as the two parts it was made of. Other words go to
+    ``tokenizers``.
+    """
+
+    END = "\n"  # no word holds a line end
+    MARK = "\0"
+    FAST = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+    def __init__(self, path: str, end_id: int):
+        import json
+
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.whole, self.end_id = Tokenizer.from_file(path), end_id
+        with open(path) as file:
+            model = json.load(file)["model"]
+        letters, last = byte_letters(), model["end_of_word_suffix"]
+
+        def raw(entry: str) -> bytes:
+            ends = entry.endswith(last)
+            return bytes(letters[c] for c in (entry.removesuffix(last) if ends else entry)) + self.MARK.encode() * ends
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + self.MARK.encode(): 256 + b for b in range(256)}
+        of = {raw(entry): i for entry, i in model["vocab"].items()}
+        for pair in model["merges"]:
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            ranks.setdefault(raw(a) + raw(b), len(ranks))
+        self.ids = np.array([of.get(entry, 0) for entry in ranks], np.int32)
+        self.ends = np.array([entry.endswith(self.MARK.encode()) for entry in ranks])
+        self.part = tiktoken.Encoding("ranks", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        fast = np.fromiter((self.FAST.fullmatch(w) is not None for w in words), bool, len(words))
+        pieces = [self.PIECE.findall(words[i].lower()) for i in np.nonzero(fast)[0].tolist()]
+        made = np.array(self.part("".join([self.MARK.join(p) + self.MARK for p in pieces])), np.int64)
+        last = np.nonzero(self.ends[made])[0] + 1  # where each piece ends
+        last = np.concatenate([[0], last])[np.cumsum([0, *map(len, pieces)])]
+        slow = [self.END if w == self.END else w for w, x in zip(words, fast.tolist()) if not x]
+        other = [[self.end_id] if w == self.END else e.ids for w, e in zip(slow, self.whole.encode_batch(slow, add_special_tokens=False))]
+        if not other:
+            return [(self.ids[made], np.diff(last))]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[fast], sizes[~fast] = np.diff(last), [len(x) for x in other]
+        of = np.repeat(fast, sizes)
+        flat = np.zeros(len(of), np.int32)
+        flat[of], flat[~of] = self.ids[made], ragged(other)[0]
+        return [(flat, sizes)]
+
+
 def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``doc_id, ids``: the ids of every whole text and the end id, as little-endian integers of ``id_type`` of the vocabulary.
 
@@ -64,17 +121,16 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
     kind = id_type(vocabulary_size(path, end_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        coder, end = Tokenizer.from_file(path), "\n"  # no word holds a line end
+        units = Units(Words(path, end_id), 1)
 
-        def ids(words: list[str]) -> list[list]:
-            made = [e.ids for e in coder.encode_batch(words, add_special_tokens=False)]
-            return [[[end_id] if w == end else x for w, x in zip(words, made)]]
+        def words(text: str | None) -> list[str]:
+            text = (text or "").replace("\n", " ")
+            if text.isascii() and "<|" not in text:
+                text = text.lower()  # as the vocabulary does, so that fewer words are unlike
+            return [*text.split(" "), Words.END]
 
-        units = Units(ids, 1)
         for own in portions(batches, "text", PORTION):
-            at, sizes = units.numbers([[*(x or "").replace("\n", " ").split(" "), end] for x in own.column("text").to_pylist()])
+            at, sizes = units.numbers([words(x) for x in own.column("text").to_pylist()])
             flat, n = units.rows[0].take(at)
             ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)] * np.dtype(kind).itemsize
             raw = flat.astype(kind).tobytes()

@@ -201,6 +201,20 @@ def test_near_pairs_equal_edit_distance():
 # --- coded ids ---
 
 
+def test_words_have_the_ids_of_the_vocabulary_file(spark):
+    """Random words of every kind of letter, and all entries of the vocabulary joined in pairs."""
+    rng = np.random.default_rng(5)
+    whole = Tokenizer.from_file(huffman.vocabulary())
+    letters = list("abcdeéîÀß019'.,-<|>SΣßİ中") + ["th", "in", "'s", "'ll", "tion", "<|endoftext|>", "e\u0301", "\u030c"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(4_000)]
+    entries = [e.replace("</w>", "") for e in whole.get_vocab() if e.replace("</w>", "").isascii()]
+    words += ["".join(rng.choice(entries, 2)) for _ in range(4_000)] + [r.text for r in table(spark, SF, "documents").collect()]
+    words = list({w: 0 for text in words for w in text.replace("\n", " ").split(" ")})
+    flat, sizes = huffman.Words(huffman.vocabulary(), 2)(words)[0]
+    want = [e.ids for e in whole.encode_batch(words, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
 def test_code_lengths():
     rng = np.random.default_rng(4)
 
@@ -291,9 +305,9 @@ def test_files_of_lost_tasks_are_not_read(spark, tmp_path):
 
 
 def test_units_forget_without_changing_ids():
-    from docqa.llm.units import Units
+    from docqa.llm.units import Units, ragged
 
-    units = Units(lambda words: [[[len(w)] * len(w) for w in words]], 1, keep=3)
+    units = Units(lambda words: [ragged([[len(w)] * len(w) for w in words])], 1, keep=3)
     for words in (["a", "bb", "bb"], ["ccc", "dddd", "a"], ["bb", "a"], []):
         at, sizes = units.numbers([words])
         flat, n = units.rows[0].take(at)
