@@ -481,6 +481,7 @@ ORACLES = {
         "reaches",
     ),
     "topk_sparse": query("SELECT query_id, chunk_key, score, rank FROM hits", "hits"),
+    "topk_lists": query("SELECT query_id, chunk_key, score, rank FROM hits", "hits"),
     "retrieve_with_text": query("SELECT query_id, chunk_key, score, rank, chunked_text FROM hits_text", "hits_text"),
     "context_count": query(
         """SELECT o.conv_id AS query_id, count(h.chunk_key) AS context_documents

@@ -18,6 +18,7 @@ from docqa.operators import answering, chat, chunking, evaluation, retrieval, ru
 from docqa.operators.cells import topk_certified as topk_cells
 from docqa.operators.changes import change_feed as feed_between
 from docqa.operators.embedding import BatchEncoder, embed, tfidf_embed as tfidf
+from docqa.operators.postings import topk_lists as search_lists
 from docqa.plans.answer import answer, answer_conversations, retrieve
 from docqa.plans.evaluate import evaluate_engine, score_all
 from docqa.plans.index import chunk_table, empty_index, index_documents, synced_index
@@ -215,6 +216,12 @@ def topk_sparse(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.topk(asked, _index(spark, sf), K, "cosine")
 
 
+def topk_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search by inverted lists with score bounds, in the JVM alone."""
+    asked = embed(fx.questions(spark, sf), "question", fx.ENCODER).filter(F.col("question") != "")
+    return search_lists(asked, _index(spark, sf), K)
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve(fx.questions(spark, sf), _index(spark, sf), fx.chunks(spark, sf), fx.ENCODER, K)
 
@@ -668,6 +675,7 @@ QUERIES = {
     "topk_certified": topk_certified,
     "topk_lsh": topk_lsh,
     "topk_sparse": topk_sparse,
+    "topk_lists": topk_lists,
     "retrieve_with_text": retrieve_with_text,
     "context_count": context_count,
     "stuff_context": stuff_context,
