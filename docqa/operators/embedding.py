@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docqa.functions.text import let
-from docqa.functions.vectors import hash_counts, norm
+from docqa.functions.text import let, words
+from docqa.functions.vectors import hash_counts, norm, word_bucket
 
 VECTOR_TYPE = T.ArrayType(T.FloatType(), containsNull=False)
 
@@ -59,15 +59,12 @@ def tfidf_embed(df: DataFrame, text: str, dim: int = 256, vector: str = "embeddi
     The bucket weights are one array of length ``dim`` and reach the rows as a scalar subquery.
     """
     counted = df.withColumn("_tf", hash_counts(F.col(text), dim))
-    buckets = df.select(F.posexplode(hash_counts(F.col(text), dim)).alias("bucket", "tf")).groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df")
-    )
-    weights = (
-        buckets.withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)))
-        .agg(F.array_sort(F.collect_list(F.struct("bucket", "idf"))).alias("pairs"))
-        .select(F.transform("pairs", lambda p: p["idf"]))
-        .scalar()
-    )
+    # A text gives each of its buckets once, and itself as bucket -1.
+    own = F.concat(F.array_distinct(F.transform(words(F.col(text)), lambda w: word_bucket(w, dim))), F.array(F.lit(-1)))
+    seen = df.select(F.explode(own).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    held = seen.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("held"))  # at most dim + 1 entries
+    of = lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0))
+    weights = held.select(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.log((of(F.lit(-1)) + 1) / (of(b) + 1)))).scalar()
     weighted = F.zip_with("_tf", "_idf", lambda tf, w: tf * w)
 
     def unit_length(w):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docqa.functions.text import distinct_words, first_truthy, truncate_text
+from docqa.functions.text import distinct_words, first_truthy, sentences, truncate_text, words
 from docqa.operators.answering import fill_template, generate
 from docqa.workspace import settle
 
@@ -72,6 +73,77 @@ def score_grounding(df: DataFrame, answer: str = "answer", context: str = "conte
     )
 
 
+RUN_SHARE = 0.5  # of a sentence's words that one run of the context must hold for it to count as covered
+
+
+def longest_run(sentence: np.ndarray, context: np.ndarray) -> tuple[int, int]:
+    """Length of the longest run of words of ``sentence`` that ``context`` holds as they stand, and where it first begins there.
+
+    Words are numbers. Windows of one length are told apart by rolling hashes; since a common run holds shorter ones, the length
+    is found by halving, so the work is in proportion to the words times the logarithm of the sentence's length.
+    """
+    mix = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
+
+    def windows(x: np.ndarray, n: int) -> np.ndarray:
+        return _rolled(x, n, mix)
+
+    low, high = 0, min(len(sentence), len(context))
+    while low < high:
+        n = (low + high + 1) // 2
+        low, high = (n, high) if np.isin(windows(context, n), windows(sentence, n)).any() else (low, n - 1)
+    return (low, int(np.isin(windows(context, low), windows(sentence, low)).argmax())) if low else (0, -1)
+
+
+def _rolled(x: np.ndarray, n: int, mix: np.ndarray) -> np.ndarray:
+    """A hash of each window of ``n`` numbers, by doubling: windows of powers of two are joined to the length."""
+    hashes, size, out, done = x.astype(np.uint64) * mix + mix, 1, None, 0
+    while True:
+        if n & size:
+            part = hashes[done:]
+            out = part if out is None else out[: len(part)] * (mix + np.uint64(2 * size)) ^ part[: len(out)]
+            done += size
+        if done == n:
+            return out[: len(x) - n + 1]
+        ahead = hashes[size:]
+        hashes = (hashes[: len(ahead)] * (mix + np.uint64(2 * size + 1))) ^ ((ahead << np.uint64(7)) | (ahead >> np.uint64(57)))
+        size *= 2
+
+
+def align_answers(df: DataFrame, key: Sequence[str], answer: str = "answer", context: str = "context_text") -> DataFrame:
+    """One row a sentence of each answer: ``(*key, sentence_no, sentence, n_words, run, evidence_at, evidence, covered)``.
+
+    ``run`` is the longest run of the sentence's words that the context holds as they stand, ``evidence_at`` the number of the word
+    of the context where it first begins (from 0, -1 without one), ``evidence`` its words. A sentence is covered if the run is at
+    least ``RUN_SHARE`` of its words. Answers without words give no rows; a null context holds no words.
+    """
+    kept = F.transform(sentences(F.col(answer)), lambda x: F.struct(x.alias("text"), words(x).alias("words")))
+    kept = F.filter(kept, lambda x: F.size(x["words"]) > 0)
+    rows = df.select(*key, kept.alias("_sentences"), words(F.coalesce(F.col(context), F.lit(""))).alias("_context")).filter(F.size("_sentences") > 0)
+
+    @F.udf(returnType="array<struct<run:int,at:int>>", useArrow=True)
+    def runs(parts, known):
+        number: dict[str, int] = {}
+        ids = lambda x: np.array([number.setdefault(w, len(number)) for w in x], dtype=np.int64)
+        held = ids(known)
+        return [longest_run(ids(p["words"]), held) for p in parts]
+
+    rows = rows.withColumn("_runs", runs("_sentences", "_context"))
+    flat = rows.select(*key, "_context", F.posexplode(F.arrays_zip("_sentences", "_runs")).alias("sentence_no", "x"))
+    run, at, n = F.col("x._runs.run"), F.col("x._runs.at"), F.size("x._sentences.words")
+    return flat.select(
+        *key, F.col("sentence_no").cast("bigint").alias("sentence_no"), F.col("x._sentences.text").alias("sentence"), n.cast("bigint").alias("n_words"),
+        run.cast("bigint").alias("run"), at.cast("bigint").alias("evidence_at"),
+        F.when(run > 0, F.array_join(F.slice("_context", at + 1, F.greatest(run, F.lit(1))), " ")).otherwise("").alias("evidence"), (run >= RUN_SHARE * n).alias("covered"),
+    )
+
+
+def score_alignment(df: DataFrame, key: Sequence[str], answer: str = "answer", context: str = "context_text") -> DataFrame:
+    """Share of covered sentences of each answer and its band: ``(*key, covered_share, alignment_evaluator/value)``; 0 without sentences."""
+    shares = align_answers(df, key, answer, context).groupBy(*key).agg(F.avg(F.col("covered").cast("double")).alias("covered_share"))
+    rows = df.select(*key).join(shares, list(key), "left").withColumn("covered_share", F.coalesce("covered_share", F.lit(0.0)))
+    return rows.withColumn("alignment_evaluator/value", grounding_band(F.col("covered_share")))
+
+
 def judge(
     df: DataFrame,
     make_fn,

@@ -151,3 +151,31 @@ def test_two_runs_of_one_name_are_told_apart(spark):
         runlog.log_run(spark, "same", "metric", {"x": x}, path, runlog.new_run_id())
     rows = runlog.read_log(spark, path).collect()
     assert len({r.run_id for r in rows}) == 2 and {r.run_name for r in rows} == {"same"}
+
+
+def test_longest_runs_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(61)
+    for _ in range(400):
+        a, b = rng.integers(0, 4, rng.integers(0, 25)), rng.integers(0, 4, rng.integers(0, 60))
+        best = (0, -1)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n > best[0] or n == best[0] and n and j < best[1]:
+                    best = (n, j)
+        assert ev.longest_run(a, b) == best
+    long = rng.integers(0, 50_000, 300_000)
+    assert ev.longest_run(long[1000:41_000], long) == (40_000, 1000)
+
+
+def test_alignment_of_null_and_empty_answers(spark):
+    rows = [(1, None, "a b"), (2, "", "a b"), (3, "Red fish swim. Blue birds fly away.", "The red fish swim on."), (4, "Words here", None), (5, "通勤手当を払う。", "会社は通勤手当を払う")]
+    df = spark.createDataFrame(rows, "id int, answer string, context_text string")
+    got = {r.id: (r.covered_share, r["alignment_evaluator/value"]) for r in ev.score_alignment(df, ["id"]).collect()}
+    assert got == {1: (0.0, "poor"), 2: (0.0, "poor"), 3: (0.5, "good"), 4: (0.0, "poor"), 5: (1.0, "excellent")}
+    third = ev.align_answers(df, ["id"]).filter("id = 3").orderBy("sentence_no").collect()
+    assert [(r.run, r.evidence_at, r.evidence) for r in third] == [(3, 1, "red fish swim"), (0, -1, "")]

@@ -291,6 +291,46 @@ CTES["engine_scores"] = (
 )
 
 
+CTES["replies"] = (
+    [],
+    f"""SELECT conv_id, turn, answer || ' ' || array_to_string(list_slice(string_split(before, ' '), 1, 12), ' ') || '.' AS answer, before FROM (
+      SELECT m.conv_id, m.turn, any_value(m.text) AS answer, coalesce(string_agg(b.text, {NL} ORDER BY b.turn), '') AS before
+      FROM conversations m LEFT JOIN conversations b ON b.conv_id = m.conv_id AND b.turn < m.turn
+      WHERE m.role = 'assistant' GROUP BY m.conv_id, m.turn)""",
+)
+CTES["reply_sentences"] = (
+    ["replies"],
+    rf"""SELECT conv_id, turn, unnest(range(len(s))) AS sentence_no, unnest(s) AS sentence FROM (
+      SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(answer, '[^.!?。！？\n]+[.!?。！？]*'), lambda x: {strip('x')}),
+        lambda x: len({all_words('x')}) > 0) AS s FROM replies)""",
+)
+CTES["reply_words"] = (
+    ["reply_sentences"],
+    f"""SELECT conv_id, turn, sentence_no, unnest(w) AS word, unnest(range(len(w))) AS i FROM (
+      SELECT *, {all_words('sentence')} AS w FROM reply_sentences)""",
+)
+CTES["context_words"] = (
+    ["replies"],
+    f"""SELECT conv_id, turn, unnest(w) AS word, unnest(range(len(w))) AS j FROM (SELECT *, {all_words('before')} AS w FROM replies)""",
+)
+CTES["reply_runs"] = (
+    ["reply_words", "context_words"],
+    """SELECT conv_id, turn, sentence_no, count(*) AS run, min(j) AS place, string_agg(word, ' ' ORDER BY j) AS evidence FROM (
+      SELECT a.conv_id, a.turn, a.sentence_no, a.word, c.j, c.j - a.i AS slant,
+        a.i - row_number() OVER (PARTITION BY a.conv_id, a.turn, a.sentence_no, c.j - a.i ORDER BY a.i) AS island
+      FROM reply_words a JOIN context_words c ON c.conv_id = a.conv_id AND c.turn = a.turn AND c.word = a.word)
+    GROUP BY conv_id, turn, sentence_no, slant, island""",
+)
+CTES["aligned"] = (
+    ["reply_sentences", "reply_runs"],
+    f"""SELECT s.*, len({all_words('sentence')}) AS n_words, coalesce(r.run, 0) AS run, coalesce(r.place, -1) AS evidence_at,
+      coalesce(r.evidence, '') AS evidence, coalesce(r.run, 0) * 2 >= len({all_words('sentence')}) AS covered
+    FROM reply_sentences s LEFT JOIN (SELECT * FROM reply_runs
+      QUALIFY row_number() OVER (PARTITION BY conv_id, turn, sentence_no ORDER BY run DESC, place) = 1) r
+      ON r.conv_id = s.conv_id AND r.turn = s.turn AND r.sentence_no = s.sentence_no""",
+)
+
+
 def pieces(name: str, rows: str, needs: list[str]) -> None:
     """Stream pieces of ``rows(conv_id, message_id, question, answer)``, by taking the runs one after the other."""
     CTES[f"{name}_rows"] = (needs, rows)
@@ -537,6 +577,16 @@ ORACLES = {
           FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations))
         WHERE role = 'assistant'"""
     ),
+    "align_answers": query(
+        "SELECT conv_id, turn, sentence_no, sentence, n_words, run, evidence_at, evidence, covered FROM aligned", "aligned"
+    ),
+    "score_alignment": query(
+        f"""SELECT conv_id, turn, covered_share, {band('covered_share')} AS alignment FROM (
+          SELECT r.conv_id, r.turn, round(coalesce(avg(a.covered::INT), 0.0), 6) AS covered_share
+          FROM replies r LEFT JOIN aligned a ON a.conv_id = r.conv_id AND a.turn = r.turn GROUP BY r.conv_id, r.turn)""",
+        "replies",
+        "aligned",
+    ),
     "eval_metrics": query("SELECT metric, value FROM metric_rows", "metric_rows"),
     "metrics_by_tag": query(
         """SELECT category, difficulty, count(*) AS examples, round(avg(accuracy_share), 6) AS accuracy_share,

@@ -384,6 +384,27 @@ def score_grounding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every assistant message with all earlier messages of its conversation as its context."""
+    messages = fx.conversations(spark, sf)
+    earlier = messages.select("conv_id", F.col("turn").alias("at"), "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
+    before = F.array_join(F.transform(F.filter("all", lambda x: x["at"] < F.col("turn")), lambda x: x["text"]), "\n")
+    replies = messages.filter(F.col("role") == "assistant").join(earlier, "conv_id")
+    # Each reply also cites the start of its context, so that runs of every length occur.
+    cited = F.concat("answer", F.lit(" "), F.substring_index("context_text", " ", 12), F.lit("."))
+    return replies.select("conv_id", "turn", F.col("text").alias("answer"), before.alias("context_text")).withColumn("answer", cited)
+
+
+def align_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each sentence of the replies with the longest run of its words in the conversation before."""
+    return evaluation.align_answers(_replies(spark, sf), ["conv_id", "turn"])
+
+
+def score_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluation.score_alignment(_replies(spark, sf), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.round("covered_share", 6).alias("covered_share"), F.col("`alignment_evaluator/value`").alias("alignment"))
+
+
 def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.metrics(score_all(_paired(spark, sf)))
 
@@ -523,7 +544,8 @@ def saved_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.preview_chunks(chunk_table(fx.sectioned(spark, sf), fx.ENCODER, file_name="file_name"))
+    first = fx.chunks(spark, sf).orderBy("chunk_key").limit(5)  # only these are encoded
+    return tables.preview_chunks(embed(first, "chunked_text", fx.ENCODER))
 
 
 def embedding_dim(spark: SparkSession, sf: str) -> DataFrame:
@@ -693,6 +715,8 @@ QUERIES = {
     "score_accuracy": score_accuracy,
     "score_relevance": score_relevance,
     "score_grounding": score_grounding,
+    "align_answers": align_answers,
+    "score_alignment": score_alignment,
     "eval_metrics": eval_metrics,
     "metrics_by_tag": metrics_by_tag,
     "evaluate_answers": evaluate_answers,
