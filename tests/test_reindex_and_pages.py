@@ -114,3 +114,41 @@ def test_a_document_of_many_pages_is_never_one_row(spark):
     assert made.count() == 10_000 and made.agg(F.max(F.length("chunked_text"))).first()[0] < 2000
     assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
     assert chunk_pages(pages.limit(0)).count() == 0
+
+
+def chat(spark, out, checkpoint, inbox, rows, **options):
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    df = spark.createDataFrame([(*r[:4], None if r[4] is None else f"2024-01-01 {r[4]}") for r in rows], "conv_id long, turn long, role string, text string, ts string")
+    df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(schema).parquet(inbox)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    jobs.chat_stream(stream, lambda df: df.withColumn("answer", F.col("question")), out, checkpoint, ts_col="ts", **options).awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_late_messages_are_put_aside_and_idle_questions_stay(spark):
+    out, checkpoint, inbox = (new_folder(spark, n) for n in ("chat", "checkpoint", "inbox"))
+    go = lambda rows: chat(spark, out, checkpoint, inbox, rows, delay="10 minutes", idle_seconds=3600)
+    go([(1, 0, "user", "first", "10:00:00"), (2, 0, "user", "other", "10:00:00"), (3, 0, "system", "hello", None)])
+    go([(1, 4, "user", "late", "09:30:00"), (1, 1, "assistant", "reply", "10:05:00"), (2, 1, "user", "within", "09:55:00")])
+    opened = lambda: {r.conv_id: r.question for r in jobs.open_questions(spark, out).collect()}
+    assert opened() == {1: "first", 2: "within", 3: ""}
+    assert [tuple(r)[:4] for r in jobs.late_messages(spark, out).collect()] == [(1, 4, "user", "late")]
+    assert jobs.idle_conversations(spark, out).count() == 0
+    go([(3, 1, "user", "now", "12:00:00")])
+    assert {tuple(r) for r in jobs.idle_conversations(spark, out).collect()} == {(1, 1, "first"), (2, 1, "within")}
+    go([(1, 5, "assistant", "more", "12:30:00")])  # the idle conversation goes on, and its question is still there
+    assert opened() == {1: "first", 2: "within", 3: "now"}
+    pieces = {r.conv_id: r.content for r in jobs.reply_pieces(spark, out).collect()}
+    assert pieces[1] == "first" and pieces[3] == "now"
+
+
+def test_forgotten_conversations_begin_anew(spark):
+    out, checkpoint, inbox = (new_folder(spark, n) for n in ("chat", "checkpoint", "inbox"))
+    go = lambda rows: chat(spark, out, checkpoint, inbox, rows, idle_seconds=600, forget_seconds=3600)
+    go([(1, 0, "user", "first", "10:00:00")])
+    go([(2, 0, "user", "x", "10:30:00")])
+    go([(2, 1, "user", "y", "13:00:00")])
+    go([(1, 1, "assistant", "later", "14:00:00")])
+    assert {r.conv_id: r.question for r in jobs.open_questions(spark, out).collect()} == {1: "", 2: "y"}
