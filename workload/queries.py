@@ -222,8 +222,14 @@ def topk_lists(spark: SparkSession, sf: str) -> DataFrame:
     return search_lists(asked, _index(spark, sf), K)
 
 
+def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Index and chunks, cut once: the search reads the vectors, the fetch of the hits the texts."""
+    chunks = settle(fx.chunks(spark, sf), "chunks")
+    return embed(chunks, "chunked_text", fx.ENCODER), chunks
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve(fx.questions(spark, sf), _index(spark, sf), fx.chunks(spark, sf), fx.ENCODER, K)
+    return retrieve(fx.questions(spark, sf), *_corpus(spark, sf), fx.ENCODER, K)
 
 
 def retrieve_with_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +239,7 @@ def retrieve_with_text(spark: SparkSession, sf: str) -> DataFrame:
 def context_count(spark: SparkSession, sf: str) -> DataFrame:
     """Questions of conversations with gaps: those without a question have no context."""
     asked = chat.last_user_message(fx.chat_with_gaps(spark, sf)).withColumnRenamed("conv_id", "query_id")
-    hits = retrieve(asked, _index(spark, sf), fx.chunks(spark, sf), fx.ENCODER, K)
+    hits = retrieve(asked, *_corpus(spark, sf), fx.ENCODER, K)
     return retrieval.context_count(asked, hits)
 
 
@@ -244,7 +250,7 @@ def stuff_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _answered(spark: SparkSession, sf: str, **options) -> DataFrame:
-    return answer(fx.questions(spark, sf), _index(spark, sf), fx.chunks(spark, sf), fx.ENCODER, K, **options)
+    return answer(fx.questions(spark, sf), *_corpus(spark, sf), fx.ENCODER, K, **options)
 
 
 def render_prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,9 +263,7 @@ def extractive_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: every conversation's open question, answered from the documents."""
-    return answer_conversations(
-        fx.conversations(spark, sf), _index(spark, sf), fx.chunks(spark, sf), fx.ENCODER, k=K
-    ).select(
+    return answer_conversations(fx.conversations(spark, sf), *_corpus(spark, sf), fx.ENCODER, k=K).select(
         "conv_id",
         "question",
         F.size("context").cast("bigint").alias("context_documents"),
