@@ -12,6 +12,7 @@ from docqa.plans.index import chunk_table, fold_changes, index_documents, synced
 from docqa.sources import reading, tables
 from docqa.streaming import jobs
 from docqa.workspace import new_folder, settle
+from workload.queries import QUERIES
 
 
 def rows(df):
@@ -231,3 +232,17 @@ def test_unusable_vectors_fail_the_build(spark, tmp_path, bad):
     with pytest.raises(ValueError, match="no usable vector"):
         tables.build_index(df, str(tmp_path / "index"))
     assert not tables.published_versions(spark, str(tmp_path / "index"))
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_streamed_queries_read_tables_of_one_file_and_of_many(spark, tmp_path, parts):
+    docs = spark.createDataFrame([(i, f"word{i} apples and pears\nline {i}", "en", f"src{i % 3}", 30) for i in range(1, 13)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    talks = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"word{c} apples {t}") for c in range(1, 7) for t in range(3)], "conv_id bigint, turn bigint, role string, text string")
+    for name, df in (("documents", docs), ("conversations", talks)):
+        if parts:
+            df.repartition(parts).write.parquet(f"{tmp_path}/{name}.parquet")
+        else:
+            df.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    assert QUERIES["index_stream"](spark, str(tmp_path)).count() == 24
+    pieces = QUERIES["chat_stream"](spark, str(tmp_path))
+    assert pieces.filter("conv_id > 0").select("conv_id").distinct().count() == 6
