@@ -192,3 +192,20 @@ def test_long_answers_take_time_in_proportion(spark):
     list(took(1000))
     small, large = list(took(20_000)), list(took(2_000_000))
     assert all(b[0] < 100 * max(a[0], 0.05) for a, b in zip(small, large)) and large[0][1] == 500_000 and large[2][1] == 0
+
+
+def test_hash_counts_of_many_rows_match_the_rule(spark):
+    """Each word in the bucket of its MD5, a null text as a null vector, rows of several slices and batches."""
+    from hashlib import md5
+
+    texts = [None if i % 17 == 0 else " ".join(f"w{'abcdefghij'[(i * j) % 10]}" for j in range(i % 9)) + ("かな漢字 ー x" if i % 5 == 0 else "") for i in range(400)]
+    found = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", words(F.col("t")).alias("w"), hash_counts(F.col("t"), 64).alias("v")).collect()
+    assert len(found) == 400
+    for r in found:
+        if r.w is None:
+            assert r.v is None and texts[r.i] is None
+            continue
+        want = [0.0] * 64
+        for w in r.w:
+            want[int(md5(w.encode()).hexdigest()[:6], 16) % 64] += 1
+        assert r.v == want
