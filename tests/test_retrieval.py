@@ -222,3 +222,18 @@ def test_neighbouring_ties_by_rounding_go_to_the_smaller_key(spark, metric):
     place = {r.chunk_key: r["rank"] for r in got}
     wrong = sum(place[i] > place[i + 60 * k] for i in range(60) for k in (1, 2, 3))
     assert wrong == 0
+
+
+def test_search_beyond_the_bound_copies_rows_a_few_times(spark):
+    """Blocks grow with the tables, so neither side is copied once for each small block of the other."""
+    for n in (10_000, 100_000, 600_000):
+        blocks, slices = retrieval._grid(n, n, 64, 256, 256, 48)
+        assert blocks + slices <= 16 and n / blocks * 64 * 8 <= retrieval.BLOCK_BYTES
+    rng = np.random.default_rng(5)
+    make = lambda name, n: spark.createDataFrame([(i, [float(v) for v in rng.integers(0, 4, 8)]) for i in range(n)], f"{name} long, embedding array<float>").repartition(3)
+    asked, rows = make("query_id", 60), make("chunk_key", 300)
+    for metric in ("cosine", "dot", "l2"):
+        want = sorted(map(tuple, retrieval.topk(asked, rows, 4, metric).collect()))
+        assert len(want) == 240
+        assert sorted(map(tuple, retrieval.topk(asked, rows, 4, metric, max_queries=0, query_block_rows=7, index_block_rows=11).collect())) == want
+    assert retrieval.topk(asked, rows.limit(0), 4, max_queries=0).count() == 0
