@@ -7,6 +7,7 @@ Distances are between unit vectors for ``cosine``, between the vectors themselve
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +20,16 @@ from pyspark.sql import types as T
 
 from docqa.operators.retrieval import (
     INDEX_BLOCK_ROWS,
-    QUERY_BLOCK_ROWS,
+    SCORE_ROWS,
+    TASKS_PER_CORE,
     _all_blocks,
+    _BestK,
+    _grid,
     _hit_type,
+    _hits,
     _matrix,
     _own_block,
     best_hits,
-    block_search,
     rank_hits,
 )
 from docqa.workspace import new_folder, settle
@@ -35,6 +39,8 @@ SAMPLE_ROWS = 64  # rows a cell that the centroids are fitted on, taken by a has
 CENTROID_BYTES = 64 << 20  # bound of the centroids, which go to every task; beyond it cells hold more rows
 ROUNDS = 12  # of k-means
 SLACK = 1e-9  # far above what rounding does to a distance of vectors of length one
+BLOCK_ROWS = 4096  # questions of a block and rows of a slice that are worth a task
+PLACE_ROWS = 512  # questions whose cells are found together
 NO_DIRECTION = -1  # the cell of vectors of length zero under cosine
 
 
@@ -147,39 +153,138 @@ def read_cells(spark: SparkSession, path: str, schema: T.StructType | None = Non
     )
 
 
-def _probes(asked: DataFrame, cells: Cells, query_key: str, vector: str, low: int, high: int) -> DataFrame:
-    """``(query_key, vector, cell, more)``: the cells from place ``low`` to ``high`` of each question's order that may hold one of
-    its k best, and whether one at a later place may. ``asked`` has ``bound``, the distance of the k-th best so far.
+def open_cells(points: np.ndarray, bound: np.ndarray, cells: tuple, high: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Which of the cells (those at the places ``some``) may hold one of the k best of each point and are among its ``high`` nearest."""
+    numbers, centroids, radii, metric = cells
+    zero = ~points.any(axis=1) if metric == "cosine" else np.zeros(len(points), dtype=bool)
+    bound = np.where(zero, np.inf, bound)
+    if high >= len(numbers):
+        numbers, centroids, radii = numbers[some], centroids[some], radii[some]
+    apart = distances(points, centroids)
+    if metric == "cosine":
+        apart[:, numbers == NO_DIRECTION] = math.sqrt(2.0)  # no cosine but zero
+        apart[zero] = 0.0
+    scale = 1.0 if metric == "cosine" else 1.0 + np.abs(points).max(initial=0.0) + np.abs(cells[1]).max(initial=0.0)
+    found = apart - radii <= (bound + SLACK * scale + 2e-8 * scale)[:, None]
+    if high < len(cells[0]):
+        near = np.zeros_like(found)
+        np.put_along_axis(near, np.argsort(apart, axis=1, kind="stable")[:, :high], True, axis=1)
+        found = (found & near)[:, some]
+    return found
+
+
+def _asks(asked: DataFrame, cells: tuple, vector: str, high: int) -> dict[int, int]:
+    """Number of questions that each cell has to be scored for; a task gives one sum a cell."""
+    shared = asked.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, _, _, metric = shared.value
+        asks = np.zeros(len(numbers), dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PLACE_ROWS):
+                own = batch.slice(at, PLACE_ROWS)
+                bound = _distances_of(own.column(1).to_numpy(zero_copy_only=False), metric)
+                asks += open_cells(directed(_matrix(own.column(0)), metric), bound, shared.value, high).sum(axis=0)
+        some = np.nonzero(asks)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[some], pa.int32()), pa.array(asks[some])], names=["cell", "n"])
+
+    counted = asked.select(vector, "least").mapInArrow(run, "cell int, n bigint")
+    return {r[0]: r[1] for r in counted.groupBy("cell").agg(F.sum("n")).collect()}  # one row a cell
+
+
+def _deal(cells: tuple, sizes: np.ndarray, asks: dict[int, int], slices: int) -> tuple[list[tuple[int, list[int]]], list[np.ndarray]]:
+    """The slices that each cell's rows go to, and the places of each slice's cells.
+
+    Cells go to the slice with the least pairs so far, the costliest first; one that is more than a slice's share goes to several.
+    """
+    numbers = cells[0]
+    pairs = np.array([asks.get(int(c), 0) for c in numbers], dtype=float) * sizes
+    share = max(pairs.sum() / slices, 1.0)
+    load, routes, held = [(0.0, s) for s in range(slices)], [], [[] for _ in range(slices)]
+    for i in np.argsort(-pairs, kind="stable"):
+        if pairs[i]:
+            parts = min(slices, math.ceil(pairs[i] / share))
+            taken = [heapq.heappop(load) for _ in range(parts)]
+            for had, s in taken:
+                heapq.heappush(load, (had + pairs[i] / parts, s))
+                held[s].append(i)
+            routes.append((int(numbers[i]), [s for _, s in taken]))
+    return routes, [np.array(sorted(h), dtype=np.int64) for h in held]
+
+
+def _round(
+    asked: DataFrame, cells: Cells, asks: dict[int, int], hit_type: T.StructType, k: int, high: int, blocks: int, slices: int
+) -> DataFrame:
+    """The k best of every pair of question block and slice of the cells, from the ``high`` nearest cells that are open.
+
+    A question goes once to each slice, however many of its cells lie there, and a row once to each block. The task finds the cells
+    of its questions again, and leaves out those that the best rows it has seen rule out.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, schema = asked.sparkSession, to_arrow_schema(hit_type)
+    (query_key, vector, _), index_key = asked.columns, cells.rows.columns[0]
     order = (cells.numbers, cells.centroids, cells.radii, cells.metric)
-    shared = asked.sparkSession.sparkContext.broadcast(order)
-    schema = T.StructType([asked.schema[query_key], asked.schema[vector], T.StructField("cell", T.IntegerType()), T.StructField("more", T.BooleanType())])
+    routes, held = _deal(order, cells.sizes, asks, slices)
+    shared = spark.sparkContext.broadcast((order, held))
+    none = lambda t: F.lit(None).cast(t)
+    own, copy = F.col("_own"), F.col("_copy")
+    q = asked.select("*", _own_block(query_key, blocks).alias("_own"), _all_blocks(slices).alias("_copy")).select(
+        (own * slices + copy).alias("_place"), F.lit(-2).alias("_cell"), F.col(query_key).alias("_q"), none(hit_type[index_key].dataType).alias("_x"),
+        F.col(vector).alias("_v"), "least",
+    )
+    to = F.broadcast(spark.createDataFrame(routes, "cell int, _slices array<int>"))
+    slice_of = F.element_at("_slices", F.pmod(F.xxhash64(index_key), F.size("_slices")).cast("int") + 1)
+    x = cells.rows.filter(F.col("cell").isin([c for c, _ in routes])).join(to, "cell").select("*", slice_of.alias("_own"), _all_blocks(blocks).alias("_copy"))
+    x = x.select(
+        (copy * slices + own).alias("_place"), F.col("cell").alias("_cell"), none(hit_type[query_key].dataType).alias("_q"), F.col(index_key).alias("_x"),
+        F.col(vector).alias("_v"), none("double").alias("least"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, centroids, radii, metric = shared.value
+        (numbers, _, _, metric), held = shared.value
+        place = best = None
+        asking: list[pa.RecordBatch] = []
+
+        def hits() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                yield from _hits(best, pa.concat_arrays([b.column(2) for b in asking]), schema).to_batches()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                own = batch.slice(at, 512)
-                points = directed(_matrix(own.column(1)), metric)
-                bound = own.column(2).to_numpy()
-                apart = distances(points, centroids)
-                if metric == "cosine":
-                    apart[:, numbers == NO_DIRECTION] = math.sqrt(2.0)  # no cosine but zero
-                    apart[~points.any(axis=1)] = 0.0
-                    bound = np.where(points.any(axis=1), bound, np.inf)
-                scale = 1.0 if metric == "cosine" else 1.0 + np.abs(points).max() + np.abs(centroids).max()
-                open_ = apart - radii <= (bound + SLACK * scale + 2e-8 * scale)[:, None]
-                order = np.argsort(apart, axis=1, kind="stable")
-                open_ = np.take_along_axis(open_, order, axis=1)
-                more = open_[:, high:].any(axis=1)
-                row, place = np.nonzero(open_[:, low:high])
-                cell = numbers[order[row, place + low]]
-                alone = np.setdiff1d(np.nonzero(more)[0], row)  # nothing here, but something later
-                row, cell = np.concatenate([row, alone]), np.concatenate([cell, np.full(len(alone), -2)])
-                taken = own.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns[:2], pa.array(cell, pa.int32()), pa.array(more[row])], names=schema.names)
-
-    return asked.select(query_key, vector, "bound").mapInArrow(run, schema)
+            mark, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.nonzero((np.diff(mark) != 0) | (np.diff(cell) != 0))[0] + 1, [len(mark)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                rows = batch.slice(lo, hi - lo)
+                if mark[lo] != place:
+                    yield from hits()
+                    place, asking, best = mark[lo], [], None
+                if cell[lo] == -2:
+                    asking.append(rows)
+                    continue
+                if not asking:
+                    continue
+                if best is None:
+                    mine = held[int(place) % slices]
+                    floor = np.concatenate([b.column(5).to_numpy(zero_copy_only=False) for b in asking])
+                    best = _BestK(np.concatenate([_matrix(b.column(4)) for b in asking]), k, metric, floor)
+                    points, bound = directed(best.vectors, metric), _distances_of(floor, metric)
+                    parts = [slice(at, at + PLACE_ROWS) for at in range(0, len(floor), PLACE_ROWS)]
+                    open_ = np.concatenate([open_cells(points[p], bound[p], shared.value[0], high, mine) for p in parts])
+                at = int(np.searchsorted(numbers[mine], cell[lo]))
+                among = np.nonzero(open_[:, at])[0]
+                # Rows seen since may rule the cell out.
+                now, here = _distances_of(best.floor[among], metric), slice(mine[at], mine[at] + 1)
+                among = among[open_cells(points[among], now, shared.value[0], len(numbers), here)[:, 0]]
+                if len(among):
+                    for at in range(0, rows.num_rows, SCORE_ROWS):
+                        part = rows.slice(at, SCORE_ROWS)
+                        best.add(part.column(3), _matrix(part.column(4)), among)
+        yield from hits()
+
+    dealt = q.unionByName(x).repartitionById(blocks * slices, F.col("_place").cast("int")).sortWithinPartitions("_place", "_cell")
+    return dealt.mapInArrow(run, hit_type)
 
 
 def cell_search(
@@ -192,51 +297,56 @@ def cell_search(
     query_key: str = "query_id",
     index_key: str = "chunk_key",
     vector: str = "embedding",
-    query_block_rows: int = QUERY_BLOCK_ROWS,
-    index_block_rows: int = INDEX_BLOCK_ROWS,
+    query_block_rows: int = BLOCK_ROWS,
+    index_block_rows: int = BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """The hits of each question, as ``topk`` gives them, and how much was scanned: ``(round, questions, pairs, rows_scored)``.
+    """The hits of each question, as ``topk`` gives them, and how much was scanned: ``(round, pairs, rows_scored)``.
 
-    Without ``probes`` the search is exact: rounds of ``first`` cells, then twice as many each time, until no open question has a
-    cell left that its k-th best distance allows. With ``probes`` each question stops after so many cells (and goes on only
-    while they hold fewer than k rows), which is approximate. A round is one job; its probes and hits are written once.
+    Without ``probes`` the search is exact: a round over the ``first`` nearest cells gives each question a distance that its k best
+    do not pass, a second one scores all cells that this distance allows. With ``probes`` each question stops after so many cells
+    (and is asked again with more only while they hold fewer than k rows), which is approximate. In a round questions are cut into
+    blocks and cells are dealt to slices, and every block meets every slice, so a question is copied a few times however many
+    cells it probes. ``rows_scored`` counts whole cells; rows found in the same round may rule some of them out.
     """
     spark = queries.sparkSession
     asked = settle(queries.select(query_key, vector), "asked")
     hit_type = _hit_type(asked, cells.rows, query_key, index_key)
     best = spark.createDataFrame([], T.StructType([*hit_type.fields, T.StructField("rank", T.LongType())]))
-    number = dict(zip(cells.numbers.tolist(), cells.sizes.tolist()))
-    sizes = spark.createDataFrame([(int(c), int(n)) for c, n in number.items()], "cell int, n long")  # one row a cell, within CENTROID_BYTES
-    open_, low, width, told = asked.withColumn("bound", F.lit(float("inf"))), 0, probes or first, []
-    while low < len(cells.numbers):
-        found = settle(_probes(open_, cells, query_key, vector, low, low + width), "probes")
-        pairs = found.filter("cell <> -2")
-        load = pairs.groupBy("cell").agg(F.count("*").alias("asks")).join(F.broadcast(sizes), "cell").toPandas()  # one row a cell
-        told.append((len(told) + 1, float(load["asks"].sum()), float((load["asks"] * load["n"]).sum())))
-        if len(load):
-            blocks = [(int(c), math.ceil(a / query_block_rows), math.ceil(n / index_block_rows)) for c, a, n in load.itertuples(index=False)]
-            routes = F.broadcast(spark.createDataFrame(blocks, "cell int, _qbs int, _xbs int"))
-            q = pairs.join(routes, "cell").select(query_key, vector, "cell", _own_block(query_key, F.col("_qbs")).alias("_qb"), _all_blocks(F.col("_xbs")).alias("_xb"))
-            x = cells.rows.filter(F.col("cell").isin([b[0] for b in blocks])).join(routes, "cell")
-            x = x.select(index_key, vector, "cell", _all_blocks(F.col("_qbs")).alias("_qb"), _own_block(index_key, F.col("_xbs")).alias("_xb"))
-            new = block_search(q, x, ["cell", "_qb", "_xb"], hit_type, k, cells.metric)
-            best = settle(best_hits(best.drop("rank").unionByName(new), k, query_key, index_key), "hits")
-        kth = best.filter(F.col("rank") == k).select(query_key, _distance(F.col("score"), cells.metric).alias("kth"))
-        left = found.filter("more").select(query_key).distinct()
-        open_ = asked.join(left, query_key, "left_semi").join(kth, query_key, "left").withColumn("bound", F.coalesce("kth", F.lit(float("inf")))).drop("kth")
-        if probes is not None:
-            open_ = open_.filter("bound = double('Infinity')")
+    order = (cells.numbers, cells.centroids, cells.radii, cells.metric)
+    sizes = dict(zip(cells.numbers.tolist(), cells.sizes.tolist()))
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    open_, high, told = asked.withColumn("least", F.lit(float("-inf"))), min(probes or first, len(sizes)), []
+    while sizes:
+        asks = _asks(open_, order, vector, high)
+        told.append((len(told) + 1, float(sum(asks.values())), float(sum(n * sizes[c] for c, n in asks.items()))))
+        if asks:
+            shape = _grid(open_.count(), sum(sizes[c] for c in asks), cells.centroids.shape[1], query_block_rows, index_block_rows, tasks)
+            new = _round(open_, cells, asks, hit_type, k, high, *shape)
+            now = open_.select(F.col(query_key).alias("_now")).distinct()
+            done = best.drop("rank").join(now, F.col(query_key).eqNullSafe(F.col("_now")), "left_anti")  # the others are found anew
+            best = settle(best_hits(done.unionByName(new), k, query_key, index_key), "hits")
+        if high >= len(sizes):
+            break
+        kth = best.filter(F.col("rank") == k).select(query_key, _floor(F.col("score"), cells.metric).alias("kth"))
+        open_ = asked.join(kth, query_key, "left").select(query_key, vector, F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+        if probes:
+            open_ = open_.filter(F.col("least") == float("-inf"))
         open_ = settle(open_, "open")
-        low, width = low + width, width if probes else 2 * width
+        high = min(2 * high, len(sizes)) if probes else len(sizes)
         if not open_.limit(1).count():
             break
     scanned = spark.createDataFrame(told, "round int, pairs double, rows_scored double")
     return rank_hits(best.drop("rank"), k, query_key, index_key), scanned
 
 
-def _distance(score, metric: str):
-    """Distance of the points that have this score, rounded up a little."""
-    return score if metric == "l2" else F.sqrt(F.greatest(2 - 2 * score, F.lit(0.0)) + SLACK)
+def _floor(score, metric: str):
+    """What is larger for a better row, from the score of a hit."""
+    return -score if metric == "l2" else score
+
+
+def _distances_of(floor: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of the points that reach this floor, rounded up a little."""
+    return -floor if metric == "l2" else np.sqrt(np.maximum(2 - 2 * floor, 0.0) + SLACK)
 
 
 def topk_certified(queries: DataFrame, index: DataFrame, k: int = 5, metric: str = "cosine", path: str | None = None, **options) -> DataFrame:

@@ -1,5 +1,7 @@
 """Search by cells against brute force: proved results, limited probes, cells that are crowded, empty or without direction."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -66,3 +68,27 @@ def test_cells_grow_with_the_index_and_only_their_folders_are_read(spark):
     assert again.metric == "cosine" and again.sizes.sum() == 400
     plan = again.rows.filter("cell in (1, 2)")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters")[1][:60]
+
+
+def test_questions_are_not_copied_for_every_cell(spark):
+    """Vectors without clusters: nearly every cell is probed, in two rounds, and what is written stays a few rows a question."""
+    x, q = vectors(3600, 47), vectors(200, 48)
+    rows, asked = frame(spark, x, "chunk_key"), frame(spark, q, "query_id")
+    made = cl.build_cells(rows, new_folder(spark, "cells"))
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    hits, scanned = cl.cell_search(asked, made, 5, query_block_rows=70, index_block_rows=500)
+    assert found(hits) == found(retrieval.topk(asked, rows, 5))
+    told = scanned.collect()
+    assert len(told) == 2 and sum(r.pairs for r in told) > 0.5 * len(q) * len(made.numbers)
+    new = [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x not in before]
+    written = sum(spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/{x}").count() for x in new)
+    assert written <= 20 * len(q)
+
+
+def test_a_crowded_cell_is_dealt_to_many_slices():
+    cells = (np.arange(-1, 9), np.zeros((10, 2)), np.zeros(10), "cosine")
+    sizes = np.array([5, 10_000, *[10] * 8])
+    routes, held = cl._deal(cells, sizes, {int(c): 7 for c in cells[0] if c != 3}, 6)
+    to = dict(routes)
+    assert set(to) == set(range(-1, 9)) - {3} and len(to[0]) >= 5 and all(len(s) == 1 for c, s in to.items() if c != 0)
+    assert all(sorted(c for c, own in routes if s in own) == cells[0][held[s]].tolist() for s in range(6))
