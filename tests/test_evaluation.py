@@ -1,5 +1,7 @@
 """Result layouts, scores, metrics, report."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,29 @@ def test_alignment_of_null_and_empty_answers(spark):
     assert got == {1: (0.0, "poor"), 2: (0.0, "poor"), 3: (0.5, "good"), 4: (0.0, "poor"), 5: (1.0, "excellent")}
     third = ev.align_answers(df, ["id"]).filter("id = 3").orderBy("sentence_no").collect()
     assert [(r.run, r.evidence_at, r.evidence) for r in third] == [(3, 1, "red fish swim"), (0, -1, "")]
+
+
+def test_alignment_numbers_words_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(63)
+    known = [[f"w{i}" for i in rng.integers(0, 6, rng.integers(0, 40))] for _ in range(60)]
+    parts = [[[f"w{i}" for i in rng.integers(0, 6, rng.integers(1, 9))] for _ in range(rng.integers(1, 5))] for _ in known]
+    number = lambda x: np.array([int(w[1:]) for w in x], dtype=np.int64)
+    want = [[dict(zip(("run", "at"), ev.longest_run(number(p), number(k)))) for p in ps] for ps, k in zip(parts, known)]
+    p, k = pa.array(parts, pa.list_(pa.list_(pa.string()))), pa.array(known, pa.list_(pa.string()))
+    for bound in (1, 50, 1 << 20):
+        monkeypatch.setattr(ev, "WORDS_AT_ONCE", bound)
+        pieces = list(ev._together(p, k))
+        assert [x for lo, n in pieces for x in range(lo, lo + n)] == list(range(60))
+        assert all(n == 1 or sum(map(len, known[lo : lo + n])) <= bound for lo, n in pieces)
+        assert [r for lo, n in pieces for r in ev._aligned(p.slice(lo, n), k.slice(lo, n)).to_pylist()] == want
+
+
+def test_rows_of_sentences_do_not_carry_the_context(spark):
+    df = spark.createDataFrame([(1, "Red fish swim. Blue birds.", "The red fish swim on.")], "id int, answer string, context_text string")
+    plan = ev.align_answers(df, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    left_behind = re.search(r"Generate posexplode.*?\[([\d, ]*)\], false, \[sentence_no", plan, re.S)
+    assert left_behind and len(left_behind[1].split(",")) == 3  # the sentences, the context's words and the runs; only the key goes on
+    assert plan.count("[^.!?") == 1  # sentences are cut once
