@@ -183,6 +183,18 @@ def test_alignment_of_null_and_empty_answers(spark):
     assert [(r.run, r.evidence_at, r.evidence) for r in third] == [(3, 1, "red fish swim"), (0, -1, "")]
 
 
+def test_runs_by_pairs_equal_runs_by_hashes(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(62)
+    pairs = [(rng.integers(0, 3, rng.integers(0, 20)), rng.integers(0, 3, rng.integers(0, 80))) for _ in range(300)]
+    monkeypatch.setattr(ev, "GRID_CELLS", 0)
+    hashed = [ev.longest_run(a, b) if len(a) and len(b) else (0, -1) for a, b in pairs]
+    monkeypatch.undo()
+    monkeypatch.setattr(ev, "_rolled", None)  # a sentence of a few words takes no hashes
+    assert [ev.longest_run(a, b) for a, b in pairs] == hashed
+
+
 def test_alignment_numbers_words_in_pieces(monkeypatch):
     import numpy as np
     import pyarrow as pa
