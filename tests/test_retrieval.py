@@ -1,6 +1,7 @@
 """Search against brute force, in every physical form, with ties and crowded keys."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,31 @@ def test_search_beyond_the_bound_copies_rows_a_few_times(spark):
         assert len(want) == 240
         assert sorted(map(tuple, retrieval.topk(asked, rows, 4, metric, max_queries=0, query_block_rows=7, index_block_rows=11).collect())) == want
     assert retrieval.topk(asked, rows.limit(0), 4, max_queries=0).count() == 0
+
+
+def test_questions_without_candidates_are_left_out(monkeypatch):
+    """A batch that no question's floor lets in is not compared pair by pair; hits are those of all pairs, ties and copies included."""
+    rng = np.random.default_rng(71)
+    x, q = rng.integers(0, 3, (4000, 12)).astype(float), rng.integers(0, 3, (300, 12)).astype(float)
+    x[5] = 0
+    for metric in retrieval.METRICS:
+        best, compared = retrieval._BestK(q, 4, metric), []
+        real = np.flatnonzero
+        monkeypatch.setattr(np, "flatnonzero", lambda m: compared.append(m.size) or real(m))
+        for lo in range(0, 4000, 500):
+            best.add(pa.array(np.arange(lo, lo + 500)), x[lo : lo + 500])
+        best.add(pa.array(np.arange(4000, 4500)), np.repeat(x[5:6], 500, axis=0) - (9 if metric == "dot" else 0) + (90 if metric == "l2" else 0))
+        monkeypatch.undo()
+        best.merge()
+        got = {}
+        for a, key in zip(best.kept["q"].to_pylist(), best.kept["key"].to_pylist()):
+            got.setdefault(a, []).append(key)
+        for i in range(len(q)):
+            if metric == "l2":
+                value = -retrieval.without_noise(((x - q[i]) ** 2).sum(axis=1))
+            else:
+                s, own = x @ q[i], (x * x).sum(axis=1)
+                value = s if metric == "dot" else np.divide(s * np.abs(s), own, out=np.zeros_like(s), where=own > 0)
+                value = retrieval.without_noise(value)
+            assert got[i] == np.lexsort((np.arange(4000), -value))[:4].tolist()
+        assert compared and sum(compared[-2:]) < 300 * 500
