@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from docqa.llm import alignment, huffman, spelling
 from docqa.llm.common import table
-from docqa.workspace import new_folder, settle
+from docqa.workspace import arrow_bytes, new_folder, settle
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -314,3 +315,19 @@ def test_units_forget_without_changing_ids():
         assert n.tolist() == [len(w) for w in words] and flat.tolist() == [len(w) for w in words for _ in w] and sizes.tolist() == [len(words)]
 
 
+
+
+def test_chunks_of_alignment_run_over_small_batches(spark):
+    """Texts come in batches bounded by bytes and a chunk is filled from several of them, so neither grows with the rows of a batch."""
+    texts = [(i, f"word{i % 7} and more {i} words") for i in range(60)] + [(60, None), (None, ""), (3, "word and more")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    whole = sorted(map(str, alignment.summarise(docs).collect()))
+    assert spark.conf.get(key) == before
+    with arrow_bytes(spark, 200):
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()
+        assert len(sizes) > 3 and sum(r.n for r in sizes) == 63
+        chunks = alignment._chunks(docs, alignment.vocabularies()).select("chunk", "doc_id").collect()
+    assert len(chunks) == 1 and chunks[0].doc_id == [i for i, _ in texts]
+    assert whole == sorted(map(str, alignment.summarise(docs).collect()))
