@@ -266,3 +266,29 @@ def test_questions_without_candidates_are_left_out(monkeypatch):
                 value = retrieval.without_noise(value)
             assert got[i] == np.lexsort((np.arange(4000), -value))[:4].tolist()
         assert compared and sum(compared[-2:]) < 300 * 500
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_search_in_blocks_shuffles_no_vector(spark, metric, monkeypatch):
+    """Beyond the broadcast bound each block of questions is scanned against the index where it lies: only hits are shuffled, and only
+    the chunks that hits name."""
+    rng = np.random.default_rng(81)
+    make = lambda name, n: spark.createDataFrame([(i if i % 50 else None, [float(v) for v in rng.integers(0, 4, 8)]) for i in range(n)] + [(1, [1.0] * 8)], f"{name} long, embedding array<float>").repartition(3)
+    asked, rows = make("query_id", 90), make("chunk_key", 300).filter("chunk_key is not null").dropDuplicates(["chunk_key"])
+    want = sorted(map(str, retrieval.topk(asked, rows, 4, metric).collect()))
+    plans, real = [], retrieval.settle
+    monkeypatch.setattr(retrieval, "settle", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 8 * 8 * 20)
+    hits, few = retrieval.search(asked, rows, 4, metric, max_queries=0, query_block_rows=7, index_block_rows=11)
+    assert not few and sorted(map(str, hits.collect())) == want
+    scans = [p for name, p in plans if name == "hits"]
+    assert len(scans) == 5 and all("MapInArrow" in p for p in scans)
+    moved = [x for p in scans for x in p.splitlines() if "Exchange" in x and "RoundRobin" not in x]
+    assert moved and all("hashpartitioning(query_id" in x for x in moved)
+    text = rows.selectExpr("chunk_key", "concat('t', chunk_key) AS chunked_text", "1 AS _asked")
+    found = retrieval.attach_text(hits, text)
+    assert "LeftSemi, BuildRight" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "HELD_KEYS", 0)
+    whole = retrieval.attach_text(hits, text)
+    assert "LeftSemi" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and whole.count() > 300
